@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) ->
     return per.select("src", "source_size", target.alias("target"))
 
 
-def takings(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, rows_a_bucket: int = 20_000) -> DataFrame:
+def takings(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, rows_a_bucket: int = 1_000) -> DataFrame:
     """doc_id, src, size, n (rows that are alike in these), source_size, target, turns (how often the mix takes each of them)."""
     scratch = Scratch()
     spark = docs.sparkSession
