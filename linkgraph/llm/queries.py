@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, neardup, quality, secrets, topk, urls
+from . import decontam, langid, linededup, mixing, neardup, quality, secrets, topk, urls
 from .common import table
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_spans, op3_impact_topk, op4_fair_mixing, op5_quality_rules, op6_minhash_forest, op7_url_trees, op8_line_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_network, op2_secret_spans, op3_impact_topk, op4_fair_mixing, op5_quality_rules, op6_minhash_forest, op7_url_trees, op8_line_dedup, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
