@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, materialize, ship
+
+__all__ = ["Scratch", "materialize", "ship"]
+
 #: Bits of a membership bitmap at most: 16 MB, whatever the input.
 BITMAP_BITS = 1 << 27
 
@@ -22,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, whatever their path; once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / f"{top.name}-{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
 def packed(df: DataFrame, *cols: str, keep: str | None = None) -> DataFrame:
     """Only the named columns; with keep, all of the row as one struct of that name, so that no column can clash."""
     ship(df.sparkSession)
@@ -53,65 +33,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_by_hand.get() if set_by_hand.isDefined() else None
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "linkgraph-shared")
-    return f"{base.rstrip('/')}/linkgraph"
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc.sc().isStopped():
-                continue
-            remove(spark, path)
-        except Exception:  # the session is gone; the folder is temporary in any case
-            pass
-
-
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Materialised tables that can be dropped together once nothing lazy reads them."""
-
-    def __init__(self) -> None:
-        self.paths: list[tuple[SparkSession, str]] = []
-
-    def __call__(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-        before = len(_written)
-        out = materialize(df, name, partitions)
-        self.paths += _written[before:]
-        return out
-
-    def drop(self) -> None:
-        for spark, path in self.paths:
-            remove(spark, path)
-            _written.remove((spark, path))
-        self.paths = []
-
-
 def prefix_sums(df: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds out, the sum of value over the rows of the group up to and with each row, by (bucket, order).
 

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Scratch, bitmap, maybe_in, packed, split_by_ids
-from .components import components
 from .textops import SPACED, U, Words, chunks, mix, shingle_sets
 
 SHINGLE, PERCENT = 4, 80
