@@ -14,7 +14,8 @@ task keeps the k best of each query over its blocks, and these are merged by que
 Vectors that are null, or hold null or components that aren't finite, take no part. Only vectors of
 as many components as the query's are its candidates. Rows with the query's own id are not its
 candidates; ties go to the smaller id. Repeated rows are candidates of their own; an id
-that stands in several rows asks once for each length of vector, with the greatest one. An empty table
+that stands in several rows asks once for each length of vector, with the greatest one. A score
+beyond 64 bits is given as the greatest or least such number. An empty table
 gives no rows.
 """
 
@@ -175,7 +176,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, wave: int = WAVE, tog
                                 floor[i] = -lists[i][-1][0]
             for dim, (lists, _) in best.items():
                 own = shared.value[dim][0]
-                flat = [(int(o), x, -s) for o, one in zip(own, lists, strict=True) for s, x in one]
+                flat = [(int(o), x, max(-(2**63), min(2**63 - 1, -s))) for o, one in zip(own, lists, strict=True) for s, x in one]
                 for i in range(0, len(flat), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*flat[i : i + 50_000], strict=True)], ["query_id", "vec_id", "score"])
 
