@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import DATETIME, DURATION, NULL, V, family, is_duration, is_map, is_null, is_num, is_str
+from .values import DATETIME, DURATION, NULL, V, family, is_duration, is_map, is_null, is_num, is_str, let
 
 SECOND, DAY = 1_000_000_000, 86_400_000_000_000
 MONTH_SECONDS = 365.2425 / 12 * 86400
@@ -58,6 +58,19 @@ def fold_duration(f: dict[str, float]) -> tuple[int, int, int]:
     return whole, whole_days, whole_seconds * SECOND + int(nanos)
 
 
+def _toward(c: Column) -> Column:
+    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("bigint")
+
+
+def _folded(months: Column, days: Column, seconds: Column, nanos: Column) -> V:
+    """A duration from parts with fractions, which go on to the next smaller part."""
+    one = F.struct(months.alias("m"), days.alias("d"), seconds.alias("s"), nanos.alias("n"))
+    two = lambda x: F.struct(_toward(x["m"]).alias("m"), (x["d"] + (x["m"] - _toward(x["m"])) * (MONTH_SECONDS / 86400)).alias("d"), x["s"].alias("s"), x["n"].alias("n"))
+    three = lambda x: F.struct(x["m"].alias("m"), _toward(x["d"]).alias("d"), (x["s"] + (x["d"] - _toward(x["d"])) * 86400).alias("s"), x["n"].alias("n"))
+    last = lambda x: duration_of(x["m"], x["d"], _toward(x["s"]) * SECOND + F.round((x["s"] - _toward(x["s"])) * 1e9 + x["n"]).cast("bigint")).col
+    return V(let(let(let(one, two), three), last), DURATION)
+
+
 def duration(v: V) -> V:
     if is_duration(v.type) or is_null(v.type):
         return v
@@ -74,14 +87,12 @@ def duration(v: V) -> V:
         return duration_of(months, days, F.round(seconds * SECOND))
     if is_map(v.type):
         f = _fields(v)
+        if isinstance(v.const, dict) and all(isinstance(x, (int, float)) for x in v.const.values()):
+            return duration_of(*[F.lit(x) for x in fold_duration(v.const)])
         x = {k: F.coalesce(c.col.cast("double"), F.lit(0.0)) for k, c in f.items()}
         g = lambda k: x.get(k, F.lit(0.0))
-        toward = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
-        months = g("years") * 12 + g("quarters") * 3 + g("months")
-        days = (months - toward(months)) * (MONTH_SECONDS / 86400) + g("weeks") * 7 + g("days")
-        seconds = (days - toward(days)) * 86400 + g("hours") * 3600 + g("minutes") * 60 + g("seconds")
-        nanos = F.round((seconds - toward(seconds)) * 1e9) + g("milliseconds") * 1e6 + g("microseconds") * 1e3 + g("nanoseconds")
-        return duration_of(toward(months), toward(days), toward(seconds).cast("bigint") * SECOND + nanos.cast("bigint"))
+        fine = g("milliseconds") * 1e6 + g("microseconds") * 1e3 + g("nanoseconds")
+        return _folded(g("years") * 12 + g("quarters") * 3 + g("months"), g("weeks") * 7 + g("days"), g("hours") * 3600 + g("minutes") * 60 + g("seconds"), fine)
     return NULL
 
 
@@ -236,6 +247,11 @@ def truncate(kind: str, unit: str, v: V, over: V | None) -> V:
 
 def between(how: str, a: V, b: V) -> V:
     """Whole units from a to b, cut toward zero."""
+    both = F.struct(a.col.alias("a"), b.col.alias("b"))
+    return V(let(both, lambda x: _between(how, V(x["a"], a.type), V(x["b"], b.type)).col), DURATION)
+
+
+def _between(how: str, a: V, b: V) -> V:
     if family(a.type) == family(b.type) == "datetime":
         x, y = F.unix_micros(a.col["instant"]), F.unix_micros(b.col["instant"])
         la, lb = _from_micros(x), _from_micros(y)
@@ -252,10 +268,8 @@ def between(how: str, a: V, b: V) -> V:
         return duration_of(F.lit(0), cut(y - x, 86_400_000_000), F.lit(0))
     if how == "inseconds":
         return duration_of(F.lit(0), F.lit(0), (y - x) * 1000)
-    moved = _micros(_plus_months(la, months))
-    left = y - moved
-    days = cut(left, 86_400_000_000)
-    return duration_of(months, days, (left - days * 86_400_000_000) * 1000)
+    rest_of = let(months, lambda m: F.struct(m.alias("m"), (y - _micros(_plus_months(la, m))).alias("left")))
+    return V(let(rest_of, lambda x: duration_of(x["m"], cut(x["left"], 86_400_000_000), (x["left"] - cut(x["left"], 86_400_000_000) * 86_400_000_000) * 1000).col), DURATION)
 
 
 def _plus_months(local_time: Column, months: Column) -> Column:
@@ -271,11 +285,7 @@ def arithmetic(op: str, a: V, b: V) -> V:
         return duration_of(*[f(a.col[k], b.col[k]) for k in ("months", "days", "nanos")])
     if fa == "duration" and is_num(b.type) and op in "*/":
         k = b.col.cast("double") if op == "*" else 1 / b.col.cast("double")
-        toward = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
-        months = a.col["months"] * k
-        days = a.col["days"] * k + (months - toward(months)) * (MONTH_SECONDS / 86400)
-        nanos = a.col["nanos"] * k + (days - toward(days)) * DAY
-        return duration_of(toward(months), toward(days), F.round(nanos))
+        return _folded(a.col["months"] * k, a.col["days"] * k, F.lit(0.0), a.col["nanos"] * k)
     if fb == "duration" and is_num(a.type) and op == "*":
         return arithmetic("*", b, a)
     if fa == "duration" and op == "+":
@@ -291,22 +301,23 @@ def arithmetic(op: str, a: V, b: V) -> V:
     return NULL
 
 
+def _duration_text(v: Column) -> Column:
+    m, d, n = v["months"], v["days"], v["nanos"]
+    part = lambda c, unit: F.when(c != 0, F.concat(c.cast("string"), F.lit(unit))).otherwise(F.lit(""))
+    toward = lambda c, by: F.when(c < 0, -F.floor(-c / by)).otherwise(F.floor(c / by)).cast("bigint")
+    s = n % (60 * SECOND)
+    seconds = F.regexp_replace(F.regexp_replace((s.cast("decimal(20,0)") / F.lit(SECOND).cast("decimal(20,0)")).cast("decimal(20,9)").cast("string"), "0+$", ""), r"\.$", "")
+    time = F.concat(part(toward(n, 3600 * SECOND), "H"), part(toward(n % (3600 * SECOND), 60 * SECOND), "M"), F.when(s != 0, F.concat(seconds, F.lit("S"))).otherwise(F.lit("")))
+    date = F.concat(F.lit("P"), part(toward(m, 12), "Y"), part(m % 12, "M"), part(d, "D"))
+    return let(F.struct(date.alias("d"), time.alias("t")), lambda x: F.when((x["d"] == "P") & (x["t"] == ""), F.lit("PT0S")).when(x["t"] != "", F.concat(x["d"], F.lit("T"), x["t"])).otherwise(x["d"]))
+
+
 def to_text(v: V) -> V:
     k = family(v.type)
     if k == "date":
         return V(F.date_format(v.col, "yyyy-MM-dd"), T.StringType())
     if k == "duration":
-        m, d, n = v.col["months"], v.col["days"], v.col["nanos"]
-        part = lambda c, unit: F.when(c != 0, F.concat(c.cast("string"), F.lit(unit))).otherwise(F.lit(""))
-        toward = lambda c, by: F.when(c < 0, -F.floor(-c / by)).otherwise(F.floor(c / by)).cast("bigint")
-        years, months = toward(m, 12), m % 12
-        h = toward(n, 3600 * SECOND)
-        mi = toward(n % (3600 * SECOND), 60 * SECOND)
-        s = n % (60 * SECOND)
-        seconds = F.regexp_replace(F.regexp_replace((s.cast("decimal(20,0)") / F.lit(SECOND).cast("decimal(20,0)")).cast("decimal(20,9)").cast("string"), "0+$", ""), r"\.$", "")
-        time = F.concat(part(h, "H"), part(mi, "M"), F.when(s != 0, F.concat(seconds, F.lit("S"))).otherwise(F.lit("")))
-        text = F.concat(F.lit("P"), part(years, "Y"), part(months, "M"), part(d, "D"), F.when(time != "", F.concat(F.lit("T"), time)).otherwise(F.lit("")))
-        return V(F.when(text == "P", F.lit("PT0S")).otherwise(text), T.StringType())
+        return V(let(v.col, _duration_text), T.StringType())
     at = local(v)
     text = F.regexp_replace(F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"0+$", ""), r"\.$", "")
     if k == "localdatetime":

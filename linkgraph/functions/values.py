@@ -60,7 +60,18 @@ def lit(value: Any) -> V:
     raise TypeError(f"no value of the language: {value!r}")
 
 
-NULL = lit(None)
+class _Null(V):
+    """The null literal; its column is made when it is used, as that needs a session."""
+
+    def __init__(self) -> None:
+        self.type, self.kind, self.props, self.labels, self.const, self.is_const = T.NullType(), "value", {}, None, None, True
+
+    @property
+    def col(self) -> Column:
+        return F.lit(None)
+
+
+NULL = _Null()
 
 
 def is_int(t) -> bool:
@@ -144,6 +155,11 @@ def common(types: list) -> T.DataType:
     return T.StringType()
 
 
+def let(col: Column, f) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(col), f), 0)
+
+
 def as_type(v: V, t: T.DataType) -> Column:
     if v.type.simpleString() == t.simpleString() or is_null(t):
         return v.col
@@ -327,8 +343,9 @@ def to_text(v: V) -> V:
         x = v.col.cast("double")
         plain = x.cast("string")
         whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
-        exact = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
-        return V(F.when(F.isnan(x), F.lit("NaN")).when(whole, F.when((x == 0) & plain.startswith("-"), F.lit("-0")).otherwise(x.cast("bigint").cast("string"))).when(plain.contains("E"), exact).otherwise(plain), T.StringType())
+        exact = F.regexp_replace(F.regexp_replace(x.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+        large = x.try_cast("decimal(38,0)").cast("string")
+        return V(F.when(F.isnan(x), F.lit("NaN")).when(whole, F.when((x == 0) & plain.startswith("-"), F.lit("-0")).otherwise(x.cast("bigint").cast("string"))).when(plain.contains("E"), F.coalesce(F.when(F.abs(x) < 1e18, exact).otherwise(large), plain)).otherwise(plain), T.StringType())
     if is_str(t):
         return v
     if family(t) in ("date", "localdatetime", "datetime", "duration"):

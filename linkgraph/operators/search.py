@@ -68,7 +68,7 @@ def parse_query(text: str, stem: bool = False) -> list[Group]:
     return [g for g in groups if g.positive]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem_word(t) for t in ts])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
+from ..storage import Scratch
 
 
 def _steps(g: PropertyGraph, types: Iterable[str] | None, direction: str) -> DataFrame:
@@ -27,7 +28,10 @@ def neighborhood(g: PropertyGraph, key: str, depth: int = 1, types: Iterable[str
     e = _steps(g, types, direction).select("f", "t")
     seen = g.spark.createDataFrame([(key, 0)], "key string, depth int")
     front = seen
+    scratch = Scratch()
     for d in range(1, depth + 1):
+        if d > 2:  # what was reached is used twice in each further step
+            front, seen = scratch(front, "reached"), scratch(seen, "seen")
         front = front.join(e, F.col("key") == F.col("f")).select(F.col("t").alias("key")).distinct().join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionAll(front)
     return seen.where("depth > 0").select("key", F.col("depth").cast("bigint").alias("depth"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..functions.values import NULL, PATH, REL, V, arithmetic, as_type, common, compare, entity, is_bool, is_int, is_list, is_map, is_null, is_num, list_of, lit, map_of, member, normal, sort_keys, truth
+from ..storage import Scratch, ship
 from . import syntax as S
 from .syntax import QueryError
 
@@ -365,15 +366,23 @@ class Compiler:
         pairs = df.select(va.col["key"].alias("_a"), vb.col["key"].alias("_b")).where("_a != _b").distinct()
         front = pairs.select("_a").distinct().select("_a", F.col("_a").alias("_c"), F.array("_a").alias("_w"), F.array().cast(T.ArrayType(REL)).alias("_r"))
         seen = front.select("_a", "_c")
+        # each level is written: the next ones use it twice, and its rows tell when to stop
+        ship(self.spark)
+        scratch = Scratch()
+        pairs = scratch(pairs, "path-pairs")
         found = None
         for hop in range(1, rel.high + 1):
             front = front.join(edges.select("f", "t", "r"), F.col("_c") == F.col("f")).select("_a", F.col("t").alias("_c"), F.concat("_w", F.array("t")).alias("_w"), F.concat("_r", F.array(step)).alias("_r"))
             front = front.groupBy("_a", "_c").agg(F.min(F.struct("_w", "_r")).alias("m")).select("_a", "_c", "m._w", "m._r")
-            front = front.join(seen, ["_a", "_c"], "left_anti")
-            here = front.join(pairs, (front["_c"] == pairs["_b"]) & (front["_a"] == pairs["_a"]), "left_semi").withColumn("_d", F.lit(hop))
+            front = scratch(front.join(seen, ["_a", "_c"], "left_anti"), "path-level")
+            here = front.join(pairs, (front["_c"] == pairs["_b"]) & (front["_a"] == pairs["_a"]), "left_semi")
             found = here if found is None else found.unionAll(here)
-            if hop < rel.high:
-                seen = seen.unionAll(front.select("_a", "_c"))
+            # a start is done when all of its ends are reached
+            left = pairs.join(found.select(F.col("_a"), F.col("_c").alias("_b")), ["_a", "_b"], "left_anti").select("_a").distinct()
+            if hop == rel.high or front.isEmpty() or left.isEmpty():
+                break
+            seen = seen.unionAll(front.select("_a", "_c"))
+            front = front.join(left, "_a", "left_semi")
         rcol, pcol = _new("r"), _new("p")
         f = found.select(F.col("_a").alias("_sa"), F.col("_c").alias("_sb"), F.col("_r").alias(rcol), F.struct(F.col("_w").alias("nodes"), F.col("_r").alias("relationships"), F.size("_r").cast("bigint").alias("length")).alias(pcol))
         df = df.join(f, (va.col["key"] == F.col("_sa")) & (vb.col["key"] == F.col("_sb"))).drop("_sa", "_sb")
