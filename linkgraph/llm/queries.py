@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, linededup, mixing, neardup, quality, secrets, tokencount, topk, urls
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_network, op2_secret_spans, op3_impact_topk, op4_fair_mixing, op5_quality_rules, op6_minhash_forest, op7_url_trees, op8_line_dedup, op9_viterbi_counts, op10_decontaminate)}
+__all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_network, op2_secret_spans, op3_impact_topk, op4_fair_mixing, op5_quality_rules, op6_minhash_forest, op7_url_trees, op8_line_dedup, op9_viterbi_counts, op10_decontaminate)}
