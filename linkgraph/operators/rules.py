@@ -166,7 +166,7 @@ def field_equal(p: FieldEqual, src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def overlap(p: Overlap, src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Jaccard of token sets. Sets of at least min share a token among the rarest n - ceil(min * n) + 1 of each, and meet there only once."""
+    """Jaccard of token sets. Sets of at least min share a token among the rarest n - ceil(min * n) + 1 of each, and meet there."""
     s, d = _side(src, p.field, "s"), _side(dst, p.field, "d")
     if s is None or d is None or not all(isinstance(_type(x), T.ArrayType) for x in (s, d)):
         return _none(src)
@@ -178,11 +178,12 @@ def overlap(p: Overlap, src: DataFrame, dst: DataFrame) -> DataFrame:
     size = F.size("ts")
     first = F.slice("ts", F.lit(1), F.least(size, size - F.ceil(F.lit(float(p.min)) * size - 1e-9).cast("int") + 1))
     ordered = ordered.select("side", "k", "ts", first.alias("pre"))
-    a, b = (ordered.where(F.col("side") == n).select(F.col("k").alias(n), F.col("ts").alias(f"{n}s"), F.col("pre").alias(f"{n}p"), F.explode("pre").alias("t")) for n in "sd")
-    both = F.size(F.array_intersect("ss", "ds"))
-    pairs = a.join(b, "t").where(F.col("t") == F.element_at(F.array_intersect("sp", "dp"), 1))
-    pairs = pairs.select("s", "d", (both / (F.size("ss") + F.size("ds") - both)).alias("score"), both.alias("n"))
-    return pairs.where((F.col("n") > 0) & (F.col("score") >= p.min)).select("s", "d", "score")
+    sides = {n: ordered.where(F.col("side") == n) for n in "sd"}
+    a, b = (sides[n].select(F.col("k").alias(n), F.explode("pre").alias("t")) for n in "sd")
+    met = a.join(b, "t").select("s", "d").distinct()  # keys only meet; the sets are compared once for each pair
+    met = met.join(sides["s"].select(F.col("k").alias("s"), F.col("ts").alias("ss")), "s").join(sides["d"].select(F.col("k").alias("d"), F.col("ts").alias("ds")), "d")
+    found = met.select("s", "d", F.size(F.array_intersect("ss", "ds")).alias("n"), (F.size("ss") + F.size("ds")).alias("m"))
+    return found.where("n > 0").select("s", "d", (F.col("n") / (F.col("m") - F.col("n"))).alias("score")).where(F.col("score") >= p.min)
 
 
 def numeric_within(p: NumericWithin, src: DataFrame, dst: DataFrame) -> DataFrame:

@@ -244,7 +244,7 @@ def suggest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("rule_vector_approximate")
 def rule_vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rules.RuleDef("similar", "Vec", "Vec", rules.VectorSimilar("embedding", 0.8), "SIMILAR", approximate=True, max_edges=32)
+    r = rules.RuleDef("similar", "Vec", "Vec", rules.VectorSimilar("embedding", 0.3), "SIMILAR", approximate=True, max_edges=32)
     return rules.fire(load(spark, sf_dir, ["Vec"]), r).select("src", "dst", F.round("score", 6).alias("score"))
 
 
@@ -315,9 +315,9 @@ def _bm25(terms: list[str]) -> str:
     return f"a as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as t from documents where text is not null), b as (select doc_id, t, len(t) as n, {tf} from a), st as (select count(*) as nd, avg(n) as avg_n, {df} from b), sc as (select b.*, {s} from b, st)"
 
 
-@add("fulltext_search", f"with {_bm25(['with', 'thand'])} select 'doc:' || doc_id as key, round(s0 + s1, 6) as score from sc where f0 > 0 and f1 > 0 order by s0 + s1 desc, key limit 10")
+@add("fulltext_search", f"with {_bm25(['the', 'of'])} select 'doc:' || doc_id as key, round(s0 + s1, 6) as score from sc where f0 > 0 and f1 > 0 order by s0 + s1 desc, key limit 10")
 def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(load(spark, sf_dir, ["Doc"]), "text", "with thand").select("key", F.round("score", 6).alias("score"))
+    return search.search(load(spark, sf_dir, ["Doc"]), "text", "the of").select("key", F.round("score", 6).alias("score"))
 
 
 @add("fulltext_phrase_prefix_neg", "select 'doc:' || doc_id as key from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents) where (contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') and len(list_filter(t, lambda x: starts_with(x, 'thand'))) > 0 and not list_contains(t, 'idiot')) or list_contains(t, 'license')")
