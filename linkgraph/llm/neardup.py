@@ -9,11 +9,12 @@ compared as deep as the sort tells them apart, sparse ones at DEPTH. The sort is
 cut a region at any row, so a region of any size is spread over tasks, and the rows at the cuts are
 stitched.
 
-Candidates are confirmed on the full sets, in rounds. The first tests the best candidate of each
-class; the later ones only pairs whose ends are not in one component yet: all neighbours first, then
-in each region the places where one component ends and another begins, until nothing new comes. So a
-group of many near copies costs a few tests a document, and no link between its documents is given
-up before they are in one component.
+Candidates are confirmed on the full sets, in rounds, five at most. The first tests the best
+candidate of each class; the later ones all neighbours up to NEAR places apart whose ends are not in
+one component yet, so that every border between components in a region is tested, until a round
+confirms nothing new. So a group of many near copies costs a few tests a document. The candidates are
+those of the forest: a link is missed if its ends share no region (3 in a million at the limit), or
+stand further apart than NEAR in all orders and no chain of other links joins them.
 
 Null and empty texts have no set and are linked with nothing. Rows with the same doc_id are linked
 to each other, and links of a doc_id whose rows differ are confirmed on its greatest text. Rows without doc_id are linked with nothing and are kept. No rows give no rows.
@@ -84,11 +85,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 _PAIRS = "kind int, a bigint, b bigint, tree int, head bigint, place int, part int, ca bigint, cb bigint"
 
 
-def _neighbours(near: int, runs: bool):
-    """Over rows (tree, head, tail, id, comp) sorted within a part: pairs of neighbours in a region, and the rows at the part's ends.
-
-    runs: only where a component ends and another begins; else the near rows that follow, of another component.
-    """
+def _neighbours(near: int):
+    """Over rows (tree, head, tail, id, comp) sorted within a part: pairs of a row and the near ones after it in its region, if of another component; and the rows at the part's ends."""
 
     def emit(out: list, tree, head, ids, comp, i, j):
         differ = comp[i] != comp[j]
@@ -140,7 +138,7 @@ def candidates(rows: DataFrame, near: int, scratch: Scratch) -> DataFrame:
 
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, "tree", "head", "tail", "id").sortWithinPartitions("tree", "head", "tail", "id")
-    out = scratch(dealt.mapInArrow(_neighbours(near, False), _PAIRS), "lsh-pairs")
+    out = scratch(dealt.mapInArrow(_neighbours(near), _PAIRS), "lsh-pairs")
     inner = out.where("kind = 0").select("a", "b", "tree")
     # at the cuts: 2 * near rows a part and no more; neighbours within one part were seen there
     w = W.partitionBy("tree", "head").orderBy("part", "place")
