@@ -59,6 +59,7 @@ def pagerank(g: PropertyGraph, types: Iterable[str] | None = None, damping: floa
         new = scratch(new, "pr")
         moved, dangling = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), lost).first()
         rank = new.select("key", "sends", "score")
+        scratch.release("pr")
         if moved < tol:
             break
     return rank.select("key", "score")

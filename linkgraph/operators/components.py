@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     Each round is a few joins and a written table, and needs no row of another round; the number of
     rounds grows with the logarithm of the longest chain, not with its length.
     """
-    e = scratch(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    name = f"cc{uuid.uuid4().hex[:8]}"
+    e = scratch(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = _mark(e)
     for _ in range(rounds):
         if not mark[0]:
             break
-        e = scratch(_small(_large(e)), "cc")
+        e = scratch(_small(_large(e)), name)
         new = _mark(e)
+        scratch.release(name)
         if new == mark:
             break
         mark = new

@@ -80,6 +80,14 @@ class Scratch:
         self.paths += _written[before:]
         return out
 
+    def release(self, name: str, keep: int = 1) -> None:
+        """Drops the tables of a name but for the last ones: those of iterations that nothing reads any more."""
+        mine = [x for x in self.paths if x[1].rsplit("/", 1)[-1].rsplit("-", 1)[0] == name]
+        for x in mine[: len(mine) - keep]:
+            remove(*x)
+            _written.remove(x)
+            self.paths.remove(x)
+
     def drop(self) -> None:
         for spark, path in self.paths:
             remove(spark, path)
