@@ -9,12 +9,13 @@ compared as deep as the sort tells them apart, sparse ones at DEPTH. The sort is
 cut a region at any row, so a region of any size is spread over tasks, and the rows at the cuts are
 stitched.
 
-Candidates are confirmed on the full sets, in rounds, five at most. The first tests the best
-candidate of each class; the later ones all neighbours up to NEAR places apart whose ends are not in
-one component yet, so that every border between components in a region is tested, until a round
-confirms nothing new. So a group of many near copies costs a few tests a document. The candidates are
-those of the forest: a link is missed if its ends share no region (3 in a million at the limit), or
-stand further apart than NEAR in all orders and no chain of other links joins them.
+Candidates are confirmed on the full sets, in rounds. The first tests the best candidate of each class,
+the second all neighbours up to NEAR places apart whose ends are not in one component yet; so a group
+of many near copies costs a few tests a document. What these leave open is closed without a cap: in
+every region that still holds several components, all pairs of classes of different components are
+compared by bounds that no link can break (sizes, and bits of parity of the sets), and those that
+pass are confirmed, the closest ones first, until none is left. A link is missed only if its ends
+share no region (3 in a million at the limit) and no chain of other links joins them.
 
 Null and empty texts have no set and are linked with nothing. Rows with the same doc_id are linked
 to each other, and links of a doc_id whose rows differ are confirmed on its greatest text. Rows without doc_id are linked with nothing and are kept. No rows give no rows.
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 4, 80
 TREES, DEPTH, DEEPER = 24, 4, 4
 #: A pair at the limit of 0.8 shares the first DEPTH columns in some tree but for (1 - 0.8**4) ** 24 = 3e-6 of the cases.
 NEAR = 3
+#: A block of a region's classes, words of 64 bits of parity of a set, and pairs of a class and block that the first closing round tests.
+BLOCK, PARITY, FIRST = 2048, 16, 4
 _rng = np.random.default_rng(20240611)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
@@ -170,7 +173,86 @@ def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch(both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a bigint, b bigint, ok boolean"), "lsh-tested")
 
 
-def classes(docs: DataFrame, scratch: Scratch, rounds: int = 5) -> DataFrame:
+def parities(texts: DataFrame) -> DataFrame:
+    """id, n, bits: how many shingles fall on each bit, mod 2. Two sets differ in at least as many shingles as their bits do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, bits = [], []
+            for _, _, buf, offs in chunks(b.column("text")):
+                for s in shingle_sets(Words(buf, offs, SPACED), SHINGLE):
+                    n.append(len(s))
+                    bits.append(np.packbits((np.bincount((s % U(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n bigint, bits binary")
+
+
+def _meet(most: int):
+    """Over the rows of one cell: pairs of different components within a region that the bounds let pass; of each class the closest ones, `most` in a slice, and whether more were there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tree, head, ids, comp, block, n = (t.column(c).to_numpy() for c in ("tree", "head", "id", "comp", "block", "n"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
+        order = np.lexsort((ids, head, tree))
+        cuts = np.flatnonzero((np.diff(tree[order]) != 0) | (np.diff(head[order]) != 0)) + 1
+        out: list = []
+        for rows in np.split(order, cuts):
+            left, right = (rows, rows) if i == j else (rows[block[rows] == i], rows[block[rows] == j])
+            for c in range(0, len(left), 512):
+                x = left[c : c + 512]
+                y = right[c:] if i == j else right
+                limit = (100 - PERCENT) * (n[x][:, None] + n[y][None, :]) // (100 + PERCENT)
+                ok = (comp[x][:, None] != comp[y][None, :]) & (np.abs(n[x][:, None] - n[y][None, :]) <= limit)
+                if i == j:
+                    ok &= np.arange(len(y))[None, :] > np.arange(len(x))[:, None]
+                p, q = np.nonzero(ok)
+                apart = np.zeros(len(p), np.int64)
+                for w in range(0, PARITY, 4):
+                    apart += np.bitwise_count(bits[x[p], w : w + 4] ^ bits[y[q], w : w + 4]).sum(1, dtype=np.int64)
+                    good = apart <= limit[p, q]
+                    p, q, apart = p[good], q[good], apart[good]
+                all_ = len(p)
+                if all_:
+                    keep = np.zeros(all_, bool)
+                    for side in (p, q):
+                        by = np.lexsort((apart, side))
+                        first = np.searchsorted(side[by], side[by])
+                        keep[by[np.arange(all_) - first < most]] = True
+                    p, q = p[keep], q[keep]
+                    out.append((ids[x[p]], ids[y[q]], np.full(len(p), len(p) < all_)))
+        a, b, more = (np.concatenate(k) for k in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
+
+    return run
+
+
+def open_pairs(here: DataFrame, texts: DataFrame, most: int, scratch: Scratch) -> DataFrame | None:
+    """a < b, more: pairs of classes that share a region, are of different components and may be linked; more if a slice held others. None if every region is of one component.
+
+    A region is cut into blocks and each two of them meet in a cell, but for those of its greatest
+    component alone; small regions share cells.
+    """
+    by_comp = here.groupBy("tree", "head", "comp").count()
+    regions = by_comp.groupBy("tree", "head").agg(F.sum("count").alias("m"), F.max("count").alias("l"), F.max_by("comp", F.struct("count", "comp")).alias("great"), F.count("*").alias("comps")).where("comps > 1")
+    regions = scratch(regions.select("tree", "head", "m", "great", F.when(F.col("m") <= BLOCK, 0).otherwise(F.ceil(F.col("l") / BLOCK)).cast("int").alias("big"), F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil((F.col("m") - F.col("l")) / BLOCK)).cast("int").alias("rest")), "lsh-open")
+    n = regions.agg(F.sum("m")).first()[0]
+    if not n:
+        return None
+    rows = scratch(here.join(regions, ["tree", "head"]).select("tree", "head", "id", "comp", "great", "big", "rest").distinct(), "lsh-open-rows")
+    bits = scratch(parities(texts.join(rows.select("id").distinct(), "id", "left_semi")), "lsh-parity")
+    slot = F.xxhash64("id")
+    great = (F.col("big") > 0) & (F.col("comp") == F.col("great"))
+    rows = rows.withColumn("block", F.when(great, F.pmod(slot, F.col("big"))).otherwise(F.col("big") + F.pmod(slot, F.col("rest"))).cast("int"))
+    cells = rows.select("tree", "head", "id", "comp", "block", "big", F.explode(F.sequence(F.when(great, F.col("big")).otherwise(0), F.col("big") + F.col("rest") - 1)).alias("o"))
+    alone = F.col("big") == 0
+    cells = cells.select("tree", "head", "id", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(alone, -1).otherwise(F.col("tree")).alias("g"), F.when(alone, F.pmod(F.xxhash64("tree", "head"), F.lit(n // BLOCK + 1))).otherwise(F.col("head")).alias("h"))
+    met = cells.join(bits, "id").groupBy("g", "h", "i", "j").applyInArrow(_meet(most), "a bigint, b bigint, more boolean")
+    return scratch(met.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "lsh-met")
+
+
+def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n (shingles), component for each row of docs (doc_id, text)."""
     from pyspark.sql import Window as W
 
@@ -193,26 +275,33 @@ def classes(docs: DataFrame, scratch: Scratch, rounds: int = 5) -> DataFrame:
         texts = texts.join(involved, texts["doc_id"] == involved["k"], "left_semi").select(F.col("doc_id").alias("id"), "text")
         texts = scratch(texts if n_rows == n_ids else texts.groupBy("id").agg(F.max("text").alias("text")), "lsh-texts")
         tested = None
-        for turn in range(rounds):
+        turn, most, more = 0, FIRST, True
+        while more:
             here = rows.withColumn("comp", F.col("id"))
             if comp is not None:
                 c = comp.select(F.col("id").alias("_i"), "component")
                 here = rows.join(c, rows["id"] == c["_i"], "left").select("tree", "head", "tail", "id", F.coalesce("component", "id").alias("comp"))
-            pairs = candidates(here, 1 if turn == 0 else NEAR, scratch)
+            if turn < 2:
+                pairs = candidates(here, 1 if turn == 0 else NEAR, scratch)
+            else:
+                pairs = open_pairs(here, texts, most, scratch)
+                if pairs is None:
+                    break
+                more = pairs.where("more").limit(1).count() > 0
+                most *= 8
             if turn == 0:
                 best = W.partitionBy("b").orderBy(F.col("votes").desc(), "a")
                 pairs = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             done = confirm(pairs, texts, scratch)
-            fresh, found = done.agg(F.count("*"), F.count_if("ok")).first()
+            found = done.where("ok").count()
             new = done.where("ok").select("a", "b")
             links = new if links is None else links.unionByName(new)
             tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
             if found:
                 comp = components(links, scratch)
-            if turn and not found:
-                break
+            turn += 1
     out = sketch.select("id", "n", "d1", "d2")
     many = same.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "rep")
     has = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m"))

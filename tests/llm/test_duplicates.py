@@ -64,6 +64,36 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups(docs)
 
 
+def star(seed, spokes, words=200, edits=5):
+    """A text and copies of it, each with edits in other places: all are linked to it, hardly any to each other."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = [base]
+    for k in range(spokes):
+        c = list(base)
+        for at in r.sample(range(4, words - 4, 4), edits):
+            c[at] = f"e{k}-{at}"
+        texts.append(c)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [256, 4096])
+def test_a_star_of_thousands_is_one_group(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    docs = [(i + 10, t) for i, t in enumerate(star(3, 3000)[::-1])]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    assert len(got) == 3001 and {r.component_id for r in got} == {10}
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_a_star_among_other_texts_equals_brute_force(spark, monkeypatch, first):
+    monkeypatch.setattr(neardup, "FIRST", first)
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    docs = list(enumerate(star(5, 250)[::-1] + star(6, 120, edits=6) + corpus(7, hot=40)))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups(docs)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = neardup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
