@@ -254,15 +254,15 @@ def _vector_blocks(df: DataFrame, name: str) -> DataFrame:
 
 
 def vector_similar(p: VectorSimilar, src: DataFrame, dst: DataFrame, approximate: bool = False) -> DataFrame:
-    """Exact: blocks of both sides meet, a matrix product for each two. Approximate: sign patterns of random projections, re-scored exactly."""
+    """Exact: blocks of both sides meet, a matrix product for each two. Approximate: sign patterns of random projections, as many as the least cosine asks for, re-scored exactly."""
     from ..storage import ship
 
     s, d = _side(src, p.field, "s"), _side(dst, p.field, "d")
     if s is None or d is None or not all(_is_numbers(_type(x)) for x in (s, d)):
         return _none(src)
     ship(src.sparkSession)
-    if approximate:
-        return _vector_hashed(p, s, d)
+    if approximate and (shape := hashing(float(p.min))):
+        return _vector_hashed(p, s, d, *shape)
     least = float(p.min)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,27 +277,55 @@ def vector_similar(p: VectorSimilar, src: DataFrame, dst: DataFrame, approximate
     return _vector_blocks(s, "s").join(_vector_blocks(d, "d"), "dim").select("dim", "s_ids", "s_m", "d_ids", "d_m").mapInArrow(run, "s string, d string, score double")
 
 
-def _vector_hashed(p: VectorSimilar, s: DataFrame, d: DataFrame, tables: int = 16, bits: int = 8, seed: int = 9) -> DataFrame:
+#: Share of the pairs right at the least cosine that the tables are to find, and tables at most.
+RECALL, TABLES = 0.95, 192
+
+
+def hashing(least: float) -> tuple[int, int] | None:
+    """Tables and sign bits a table, so that a pair at the least cosine shares a table with a chance of RECALL; None where that would compare more than all pairs once."""
+    same = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    for bits in range(24, 0, -1):
+        hit = same**bits
+        tables = 1 if hit >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-hit)) if hit > 0 else TABLES + 1
+        if tables <= TABLES:
+            return (tables, bits) if tables < 1 << bits else None
+    return None
+
+
+def _vector_hashed(p: VectorSimilar, s: DataFrame, d: DataFrame, tables: int, bits: int, seed: int = 9) -> DataFrame:
+    least = float(p.min)
+
     def signs(df: DataFrame, n: str) -> DataFrame:
+        """The key, its unit vector as bytes and its codes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes: dict[int, np.ndarray] = {}
             for b in batches:
-                keys, codes = [], []
-                for v in b.column("x").to_pylist():
+                keys, units, codes = [], [], []
+                for k, v in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True):
                     m = np.array([np.nan if x is None else x for x in v], float)
-                    if not len(m) or not np.isfinite(m).all() or not m.any():
-                        codes.append([])
+                    norm = np.linalg.norm(m)
+                    if not len(m) or not np.isfinite(norm) or not norm > 0:
                         continue
-                    r = np.random.default_rng([seed, len(m)]).normal(size=(tables * bits, len(m)))
-                    on = (r @ m > 0).reshape(tables, bits)
-                    codes.append([int(c) for c in (on << np.arange(bits)).sum(1) + (np.arange(tables) << bits) + (len(m) << 20)])
-                keys = b.column("k")
-                yield pa.RecordBatch.from_arrays([keys, b.column("x"), pa.array(codes, pa.list_(pa.int64()))], ["k", "x", "h"])
+                    if len(m) not in planes:
+                        planes[len(m)] = np.random.default_rng([seed, len(m)]).normal(size=(tables * bits, len(m)))
+                    on = (planes[len(m)] @ (m / norm) > 0).reshape(tables, bits)
+                    keys.append(k), units.append((m / norm).tobytes())
+                    codes.append(((on << np.arange(bits)).sum(1) + (np.arange(tables) << 24) + (len(m) << 32)).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(units, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], [n, f"{n}u", "h"])
 
-        t = df.schema["x"].dataType.simpleString()
-        return df.select(F.col(n).alias("k"), "x").mapInArrow(run, f"k string, x {t}, h array<bigint>").select(F.col("k").alias(n), F.col("x").alias(f"{n}x"), F.explode("h").alias("h"))
+        return df.select(F.col(n).alias("k"), "x").mapInArrow(run, f"{n} string, {n}u binary, h array<bigint>")
 
-    pairs = signs(s, "s").join(signs(d, "d"), "h").dropDuplicates(["s", "d"])
-    return pairs.select("s", "d", cosine(F.col("sx"), F.col("dx")).alias("score")).where(F.col("score") >= p.min)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            su, du = b.column("su").to_pylist(), b.column("du").to_pylist()
+            value = np.array([np.frombuffer(x) @ np.frombuffer(y) for x, y in zip(su, du, strict=True)], float)
+            out = pa.RecordBatch.from_arrays([b.column("s"), b.column("d"), pa.array(np.minimum(value, 1.0))], ["s", "d", "score"])
+            yield out.filter(pa.array(value >= least))
+
+    a, b = signs(s, "s"), signs(d, "d")
+    met = a.select("s", F.explode("h").alias("h")).join(b.select("d", F.explode("h").alias("h")), "h").select("s", "d").distinct()
+    return met.join(a.select("s", "su"), "s").join(b.select("d", "du"), "d").select("s", "d", "su", "du").mapInArrow(score, "s string, d string, score double")
 
 
 def pairs(p: Predicate, src: DataFrame, dst: DataFrame, approximate: bool = False) -> DataFrame:

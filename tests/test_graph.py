@@ -320,3 +320,19 @@ def test_followed_queries_are_checked():
     for bad in ("MATCH (a)-[:T]->(b)-[:T]->(c) RETURN a", "MATCH (a) RETURN count(*) AS c", "MATCH (a) RETURN a ORDER BY a", "MATCH (a)-[*1..2]->(b) RETURN a", "OPTIONAL MATCH (a) RETURN a"):
         with pytest.raises(cdc.NotAllowed):
             cdc.check_query(bad)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.0])
+def test_approximate_vectors_find_nine_in_ten(spark, least):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 24))
+    m = np.concatenate([centres[r.integers(0, 12, 250)] + r.normal(size=(250, 24)) * 1.2, r.normal(size=(150, 24))])
+    df = spark.createDataFrame([(f"v:{i}", [float(x) for x in v]) for i, v in enumerate(m)] + [("v:none", None), ("v:zero", [0.0] * 24), ("v:short", [1.0, 2.0])], "key string, embedding array<double>")
+    p = rules.VectorSimilar("embedding", least)
+    want = {(x.s, x.d): x.score for x in rules.vector_similar(p, df, df).collect()}
+    got = [((x.s, x.d), x.score) for x in rules.vector_similar(p, df, df, approximate=True).collect()]
+    assert len(dict(got)) == len(got) and all(abs(want[k] - v) < 1e-9 for k, v in got)
+    close = {k for k, v in want.items() if v < least + 0.1 and k[0] != k[1]}
+    assert len(close) > 500 and len(close & dict(got).keys()) >= 0.9 * len(close) and len(got) >= 0.9 * len(want)
