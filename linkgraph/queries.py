@@ -546,6 +546,24 @@ def stream_rule_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("event").agg(F.count("*").alias("n"))
 
 
+@add("stream_rule_diff_all", "with c as (select c_custkey as k, case when c_custkey < 50 then 0.0 else cast(c_acctbal as double) end as x from customer where c_custkey >= 10) select 'EdgeFired' as event, count(*) as n from c a, c b where a.k <> b.k and abs(a.x - b.x) <= 0.5 having count(*) > 0")
+def stream_rule_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, linked by balances at most 0.5 apart; those below 50 move to a balance of 0, those below 10 go."""
+    import uuid
+
+    from .streaming import cdc
+
+    log = history.CommitLog(spark, f"{shared_dir(spark)}/log-rule-all-{uuid.uuid4().hex}")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("key"), "c_custkey", F.col("c_acctbal").cast("double").alias("x"))
+    node = lambda df, x: df.select(F.lit("put_node").alias("op"), "key", F.lit("Customer").alias("label"), F.to_json(F.struct(x.alias("balance"))).alias("props"))
+    for day, part in ((1, node(c, F.col("x"))), (2, node(c.where("c_custkey < 50"), F.lit(0.0))), (3, c.where("c_custkey < 10").select(F.lit("drop_node").alias("op"), "key"))):
+        log.append(part, dt.datetime(2024, 1, day))
+    r = rules.RuleDef("near", "Customer", "Customer", rules.NumericWithin("balance", 0.5), "NEAR")
+    out, point = f"{log.path}-out", f"{log.path}-point"
+    cdc.rule_events(spark, log.path, out, point, [r], {"Customer": "balance double"}).awaitTermination()
+    return spark.read.parquet(out).groupBy("event").agg(F.count("*").alias("n"))
+
+
 @add("csv_import", "select n_name as name, cast(n_nationkey as bigint) as k, r_name as region from nation join region on n_regionkey = r_regionkey")
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV with typed headers, and read again."""
