@@ -100,3 +100,24 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> D
     """The rows of docs whose id is not in column k of ids."""
     sure, may = split_by_ids(docs, ids, id_column)
     return sure.unionByName(may.join(ids, may[id_column] == ids["k"], "left_anti"))
+
+
+#: Keys that hold more than one row in so many are hot: there are at most as many of them, so a broadcast of them is bounded.
+HOT_KEYS = 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """left join right by columns of the same names; right has one row a key, with the number of left's rows of that key in count.
+
+    A key that holds a large share of the rows would put them all into one task. Right's rows of such
+    keys, HOT_KEYS at most, are broadcast instead; all other keys meet by a shuffle. left and right are
+    read twice, so both should be written tables. Rows without a partner are dropped.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_KEYS > F.lit(total)
+    often = right.where(hot).drop(count)
+    if not often.limit(1).count():
+        return left.join(right.drop(count), on)
+    keys = F.broadcast(often.select(*on))
+    rest = left.join(keys, on, "left_anti").join(right.where(~hot).drop(count), on)
+    return left.join(F.broadcast(often), on).unionByName(rest)

@@ -33,7 +33,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def groups(docs):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_equal_brute_force(spark, seed):
     docs = list(enumerate(corpus(seed)))
-    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), 4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups(docs)
 
 
@@ -81,7 +81,7 @@ def star(seed, spokes, words=200, edits=5):
 def test_a_star_of_thousands_is_one_group(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     docs = [(i + 10, t) for i, t in enumerate(star(3, 3000)[::-1])]
-    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), 4).collect()
     assert len(got) == 3001 and {r.component_id for r in got} == {10}
 
 
@@ -90,10 +90,52 @@ def test_a_star_among_other_texts_equals_brute_force(spark, monkeypatch, first):
     monkeypatch.setattr(neardup, "FIRST", first)
     monkeypatch.setattr(neardup, "BLOCK", 64)
     docs = list(enumerate(star(5, 250)[::-1] + star(6, 120, edits=6) + corpus(7, hot=40)))
-    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), 4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups(docs)
 
 
+def templated(seed, pairs, slots=15, words=100):
+    """Pairs of texts at 0.9 that share three quarters of their shingles with those of all other pairs."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for p in range(pairs):
+        one = list(base)
+        at = r.sample(range(words // 4 * 3, words), slots)
+        for x in at:
+            one[x] = f"p{p}-{x}"
+        two = list(one)
+        two[0] = f"q{p}"  # the first word is in one shingle only
+        two[-1] = f"r{p}"
+        two[words // 2] = f"s{p}"
+        texts += [one, two]
+    return [" ".join(t) for t in texts]
+
+
+def test_pairs_of_one_template_equal_brute_force(spark):
+    docs = list(enumerate(templated(9, 150)))
+    random.Random(2).shuffle(docs)
+    want = groups(docs)
+    assert sum(kept for _, _, kept in want.values()) == 150
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_no_pair_of_thousands_of_one_template_is_lost(spark):
+    docs = list(enumerate(templated(10, 2000)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), 4).collect()}
+    assert all(got[2 * p] == got[2 * p + 1] == 2 * p for p in range(2000))
+
+
+def test_rows_of_one_document_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, c), (5, ""), (None, a)], "doc_id bigint, text string").repartition(3)
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(3, 3, True), *[(5, 3, False)] * 4, (7, 7, True)]
+    left = [(r.doc_id, r.text) for r in neardup.one_of_each(docs).collect()]
+    assert sorted(left, key=str) == sorted([(3, a), (5, b), (7, c), (5, ""), (None, a)], key=str)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = neardup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
