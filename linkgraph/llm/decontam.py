@@ -7,9 +7,13 @@ joined with them; what matches is extended to all 10-word windows around it, and
 with the windows of the items as text. Items of fewer than 10 words are one window of their own
 length, found by the hash of that many words and confirmed as text.
 
-A null or empty text has no words and no hits; an empty benchmark hits nothing. Rows with the same
-doc_id are one document for the hits, each row with its own number of words. Rows without doc_id
-have no hits.
+Defined results: every row is judged by its own text, whatever its doc_id; rows with the same doc_id,
+repeated rows and rows without doc_id are rows like any other. A null or empty text has no words and
+no hits; an empty benchmark hits nothing. Items without item_id hit words like any other, but are not
+counted or named among the items; items with the same item_id are one item of several texts. Ties of
+fingerprints are kept at their last place on both sides. Texts of any length are read in whole; the
+windows of one text must fit in a task's memory. Columns other than those named don't matter, whatever
+their names. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, Scratch, packed, without_ids
+from .common import BITMAP_BITS, HOT_KEYS, Scratch, bitmap, maybe_in, packed
 from .textops import ALNUM, U, Words, chunks, mix, sequence_hash
 
 WINDOW, K = 10, 5
+#: Bytes of the items' fingerprints and windows up to which they are broadcast; beyond that they are joined by shuffles.
+BROADCAST_BYTES = 32 << 20
 RUN = WINDOW - K + 1
 
 
@@ -85,7 +91,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                         fps.append(g[at].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lens, pa.int32()), pa.array(wins, pa.string()), pa.array(fps, pa.list_(pa.int64()))], ["id", "len", "win", "fps"])
 
-    return items.select(F.col("item_id").cast("string").alias("id"), F.col("text")).where("text is not null and id is not null").mapInArrow(run, "id string, len int, win string, fps array<bigint>").distinct()
+    return items.select(F.col("item_id").cast("string").alias("id"), F.col("text")).where("text is not null").mapInArrow(run, "id string, len int, win string, fps array<bigint>").distinct()
 
 
 def _mask(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -106,72 +112,102 @@ def _mask(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     return mask, lens
 
 
-def hits(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_words) by row; (doc_id, start, end) of the word ranges hit; (doc_id, id) of items found."""
-    spark = docs.sparkSession
-    windows = scratch(item_windows(items), "decon-items")
-    mask, lens = _mask(windows)
-    shared = spark.sparkContext.broadcast(np.packbits(mask))  # BITMAP_BITS / 8 bytes at most
-    bits = len(mask)
+def _scan(shared, bits: int, lens: list[int]):
+    """Over rows (id, h1, h2, text): one row each (start -1, len its words), and one a fingerprint that may be an item's, with the words around it.
+
+    row is a number of its own for each row: the task's number and a count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         has = np.unpackbits(shared.value).astype(bool)
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
-            for i, j, buf, offs in chunks(b.column("text")):
+            for i, _, buf, offs in chunks(b.column("text")):
                 w = Words(buf, offs, ALNUM)
-                rows, starts, sizes, fps, around = [np.arange(w.rows)], [np.full(w.rows, -1)], [w.count], [np.zeros(w.rows, U)], [None] * w.rows
-                n, row = len(w.hash), w.row_of()
+                row = w.row_of()
+                rows, starts, sizes, fps = [np.arange(w.rows)], [np.full(w.rows, -1)], [w.count], [np.zeros(w.rows, U)]
+                around: list = [None] * w.rows
+
+                def add(at, first, last, length, h, w=w, row=row, out=(rows, starts, sizes, fps), around=around):
+                    for x, y in zip(out, (row[at], first - w.first[row[at]], np.full(len(at), length), h[at]), strict=True):
+                        x.append(y)
+                    around += [w.text(x, y).decode("utf8", "replace") for x, y in zip(first, last, strict=True)]
+
                 g, at = w.grams(K), winnow(w)
-                found = [(at[has[_bit(g[at], bits)]], K, g)]
+                at = at[has[_bit(g[at], bits)]]
+                if len(at):
+                    add(at, np.maximum(w.first[row[at]], at - (WINDOW - K)), np.minimum(w.first[row[at] + 1], at + WINDOW), WINDOW, g)
                 for length in lens:
                     h = short_hashes(w, length)
-                    found.append((np.flatnonzero(has[_bit(h, bits)] & (h != 0)), length, h))
-                for at, length, h in found:
-                    rows.append(row[at]), sizes.append(np.full(len(at), length)), fps.append(h[at])
-                    if length == K and h is g:
-                        first, end = w.first[row[at]], w.first[row[at] + 1] if len(at) else at
-                        low, high = np.maximum(first, at - (WINDOW - K)), np.minimum(end, at + WINDOW)
-                        starts.append(low - first)
-                        sizes[-1] = np.full(len(at), WINDOW)
-                        around += [w.text(x, y).decode("utf8", "replace") for x, y in zip(low, high, strict=True)]
-                    else:
-                        starts.append(at - w.first[row[at]] if len(at) else at)
-                        around += [w.text(x, x + length).decode("utf8", "replace") for x in at]
+                    at = np.flatnonzero(has[_bit(h, bits)] & (h != 0))
+                    if len(at):
+                        add(at, at, at + length, length, h)
                 take = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(take + i)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(fps).astype(np.int64)), pa.array(around, pa.string())], ["id", "start", "len", "fp", "around"])
+                cols = [b.column(c).take(pa.array(take + i)) for c in ("id", "h1", "h2")]
+                cols += [pa.array(take + number), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(fps).astype(np.int64)), pa.array(around, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "h1", "h2", "row", "start", "len", "fp", "around"])
+                number += w.rows
 
-    seen = scratch(docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id bigint, start int, len int, fp bigint, around string"), "decon-seen")
-    counts = seen.where("start = -1").select(F.col("id").alias("doc_id"), F.col("len").cast("long").alias("n_words"))
+    return run
+
+
+def hits(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, doc_id, h1, h2, n_words) by row; (row, start, end) of the word ranges hit; (row, id) of items found. h1, h2: 128 bits that tell texts apart."""
+    spark = docs.sparkSession
+    windows = scratch(item_windows(items), "decon-items")
+    mask, lens = _mask(windows)
+    shared = spark.sparkContext.broadcast(np.packbits(mask))  # BITMAP_BITS / 8 bytes at most
+    told = docs.select(F.col("doc_id").alias("id"), *_text_key(F.col("text")), "text")
+    seen = scratch(told.mapInArrow(_scan(shared, len(mask), lens), "id bigint, h1 bigint, h2 bigint, row bigint, start int, len int, fp bigint, around string"), "decon-seen")
+    counts = seen.where("start = -1").select("row", F.col("id").alias("doc_id"), "h1", "h2", F.col("len").cast("long").alias("n_words"))
+    size = windows.agg(F.sum(F.length("win") + F.length("id") + 16 * F.size("fps") + 32)).first()[0] or 0
+    side = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
     prints = windows.select("len", F.explode("fps").alias("fp")).distinct()
-    near = seen.where("start >= 0 and id is not null").join(prints, ["len", "fp"], "left_semi")
-    words = F.split("around", " ")
+    near = seen.where("start >= 0").join(side(prints), ["len", "fp"], "left_semi").withColumn("w", F.split("around", " "))
     long_ = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda x: F.struct((F.col("start") + x).alias("start"), F.array_join(F.slice("w", x + 1, F.lit(WINDOW)), " ").alias("win")))
-    cut = near.withColumn("w", words)
-    cut = cut.where((F.col("len") < WINDOW) | (F.size("w") >= WINDOW))
-    cut = cut.select("id", "len", F.explode(F.when(F.col("len") < WINDOW, F.array(F.struct(F.col("start"), F.col("around").alias("win")))).otherwise(long_)).alias("x")).select("id", "len", "x.start", "x.win").distinct()
-    known = windows.select("len", "win").distinct()
-    found = scratch(cut.join(known, ["len", "win"], "left_semi"), "decon-found")
-    ranges = found.groupBy("id", "start").agg(F.max(F.col("start") + F.col("len")).alias("end")).withColumnRenamed("id", "doc_id")
-    pairs = found.select(F.col("id").alias("doc_id"), "len", "win").distinct().join(windows.select("len", "win", "id"), ["len", "win"]).select("doc_id", "id").distinct()
+    short = F.array(F.struct(F.col("start"), F.col("around").alias("win")))
+    cut = near.where((F.col("len") < WINDOW) | (F.size("w") >= WINDOW)).select("row", "len", F.explode(F.when(F.col("len") < WINDOW, short).otherwise(long_)).alias("x"))
+    cut = cut.select("row", "len", "x.start", "x.win").distinct()
+    found = scratch(cut.join(side(windows.select("len", "win").distinct()), ["len", "win"], "left_semi"), "decon-found")
+    ranges = found.groupBy("row", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    named = windows.where("id is not null").select("len", "win", "id").distinct()
+    pairs = found.select("row", "len", "win").distinct().join(side(named), ["len", "win"]).select("row", "id").distinct()
     return counts, ranges, pairs
 
 
+def _text_key(text) -> list:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs."""
     scratch = Scratch()
     counts, ranges, pairs = hits(packed(docs, "doc_id", "text"), packed(items, "item_id", "text"), scratch)
-    before = W.partitionBy("doc_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("row").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     covered = ranges.withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
-    covered = covered.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "upto"))).cast("long").alias("n_hit"))
-    found = pairs.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("items_sha256"))
-    out = counts.join(covered, "doc_id", "left").join(found, "doc_id", "left")
+    covered = covered.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "upto"))).cast("long").alias("n_hit"))
+    found = pairs.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("items_sha256"))
+    out = counts.join(covered, "row", "left").join(found, "row", "left")
     none = F.sha2(F.lit(""), 256)
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
 def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without any hit, all of their columns."""
+    """The rows of docs whose text has no hit, all of their columns."""
     scratch = Scratch()
-    _, ranges, _ = hits(packed(docs, "doc_id", "text"), packed(items, "item_id", "text"), scratch)
-    return without_ids(docs, scratch(ranges.select(F.col("doc_id").alias("k")).distinct(), "decon-bad"))
+    counts, ranges, _ = hits(packed(docs, "doc_id", "text"), packed(items, "item_id", "text"), scratch)
+    bad = counts.join(ranges.select("row").distinct(), "row", "left_semi").groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).count()
+    bad = scratch(bad, "decon-bad")
+    n, rows = bad.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if not n:
+        return docs
+    h1, h2 = _text_key(docs["text"])
+    test = maybe_in(bitmap(bad, "k1", n), docs.sparkSession)(h1)
+    may = docs.where(test)
+    hot = F.col("count") * HOT_KEYS > F.lit(rows)  # HOT_KEYS texts at most, of 16 bytes each
+    for some in (F.broadcast(bad.where(hot)), bad.where(~hot)):
+        may = may.join(some, (h1 == some["k1"]) & (h2 == some["k2"]), "left_anti")
+    return docs.where(~test).unionByName(may)
