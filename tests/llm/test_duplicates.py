@@ -151,32 +151,23 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
 
 
 def removed_lines(docs):
-    windows, lines = [], {}
+    """Lines that aren't blank of each document, and those of them that windows of three wrapped lines remove."""
+    windows, lines, whole = [], {}, {}
     for i, t in docs:
         ls = [SPACED.findall(x.translate(LOW)) for x in t.split("\n")]
         ls = [x for x in ls if x]
         lines[i] = len(ls)
-        for s in range(len(ls)):
-            total = 0
-            for k in range(1, 4):
-                if s + k > len(ls):
-                    break
-                total += len(ls[s + k - 1])
-                if k == 3 or total >= 50:
-                    windows.append((tuple(map(tuple, ls[s : s + k])), i, s, s + k))
-                    if k < 3:  # the shortest long run, and always three lines
-                        if s + 3 <= len(ls):
-                            windows.append((tuple(map(tuple, ls[s : s + 3])), i, s, s + 3))
-                        break
-    first, often = {}, defaultdict(int)
-    for w, i, s, _ in windows:
-        often[w] += 1
+        rows = [(n, tuple(x[k : k + 24])) for n, x in enumerate(ls) for k in range(0, len(x), 24)]
+        whole[i] = [{k for k, (m, _) in enumerate(rows) if m == n} for n in range(len(ls))]
+        windows += [(tuple(x for _, x in rows[s : s + 3]), i, s) for s in range(len(rows) - 2)]
+    first = {}
+    for w, i, s in windows:
         first[w] = min(first.get(w, (i, s)), (i, s))
-    gone = defaultdict(set)
-    for w, i, s, e in windows:
-        if often[w] > 1 and first[w] != (i, s):
-            gone[i] |= set(range(s, e))
-    return lines, gone
+    covered = defaultdict(set)
+    for w, i, s in windows:
+        if first[w] != (i, s):
+            covered[i] |= set(range(max(s, first[w][1] + 3) if first[w][0] == i else s, s + 3))
+    return lines, {i: {n for n, rows in enumerate(whole[i]) if rows <= covered[i]} for i in whole}
 
 
 def test_line_windows_equal_brute_force(spark):
@@ -210,6 +201,13 @@ def test_line_windows_equal_brute_force(spark):
     assert sum(long_line in row.text for row in out) == 1
 
 
+def test_a_run_of_equal_lines_and_passages_of_two_lines(spark):
+    a, b = " ".join(f"a{i}" for i in range(45)), "and its end"
+    docs = [(1, "\n".join(["same"] * 4)), (2, f"one\n{a}\n{b}\ntwo"), (3, f"x\n\n{a}\n{b}"), (4, f"{a} more\ny"), (5, a), (6, f"{a}\n"), (7, "A\nB\nC"), (7, "q\nr\ns\nt"), (8, "q\nr\ns\nu\n"), (8, "q\nr\ns\nu\n"), (None, "q\nr\ns")]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, "q\nr\ns"), (1, "same\nsame\nsame"), docs[1], (3, "x\n"), docs[3], (5, a), (6, f"{a}\n"), docs[6], docs[7], (8, "u\n"), (8, "u\n")])
+
+
 def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     out = linededup.dedup_lines(odd_docs).drop("_lines")
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
@@ -262,6 +260,17 @@ def test_benchmark_passages_equal_brute_force(spark):
     assert sum(x[4] for x in want.values()) > 20
 
 
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_benchmark_judges_each_row_by_its_own_text(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+    item = " ".join(f"i{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, item), (1, "q"), (1, item), (None, item), (None, "q"), (2, "a nameless one"), (3, None)], "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(7, item), (None, "nameless one"), (7, "other text of the same item")], "item_id bigint, text string")
+    got = decontam.decontaminate(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(0, 1, 0, 0, False), (0, 40, 40, 1, True), (1, 1, 0, 0, False), (1, 40, 40, 1, True), (1, 40, 40, 1, True), (2, 3, 2, 0, True), (3, 0, 0, 0, False)]
+    assert sorted(map(str, (r.doc_id for r in decontam.clean_rows(docs, items).collect()))) == ["1", "3", "None"]
+
+
 def test_benchmark_of_odd_rows(spark, odd_docs, no_docs):
     long_text = odd_docs.where("doc_id = 6").first().text
     items = spark.createDataFrame([(1, " ".join(long_text.split()[20_000:20_030]), "x"), (None, "the of", "x"), (2, None, "x"), (3, "", "x")], "item_id bigint, text string, id string")
