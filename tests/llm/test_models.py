@@ -113,6 +113,36 @@ def test_top_k_equals_brute_force(spark, scale):
     assert by == best(rows)
 
 
+def test_top_k_stops_on_proof():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 64))
+    m = centres[rng.integers(0, 20, 4000)] + 0.3 * rng.normal(size=(4000, 64))
+    m = np.floor(256 * m / np.linalg.norm(m, axis=1)[:, None])
+    index = topk.Index(np.arange(4000), m, 5)
+    stats = {"postings": 0, "rescored": 0, "levels": 0}
+    for q in m[:100]:
+        scores = m @ q
+        kth = np.partition(scores, -6)[-6]
+        at, got = index.search(q, 5, -np.inf, stats)
+        assert set(np.flatnonzero(scores >= kth)) <= set(index_rows(index, at)) and np.array_equal(np.sort(got), np.sort(scores[index_rows(index, at)]))
+        at, _ = index.search(q, 5, 10 * scores.max(), {"postings": 0, "rescored": 0, "levels": 0})
+        assert len(at) == 0  # k others are known to be better
+    assert stats["rescored"] < 0.2 * 100 * 4000 and stats["postings"] < 0.9 * 100 * 4000 * 64
+
+
+def index_rows(index, at):
+    return np.concatenate([index.ids[v] for v in at]).astype(int)
+
+
+def test_top_k_of_great_and_of_no_components(spark):
+    rows = [(0, [0.004]), (1, [1e17]), (2, [-1e17]), (3, [1e300]), (4, [1e308]), (50, []), (51, []), (52, [])]
+    got = sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got[:3] == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))] and got[3:] == [(50, 1, 51, 0), (50, 2, 52, 0)]
+    rows = [(i, [float(i % 7), float(-i), 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, wave_bytes=40).collect())) == sorted(map(tuple, topk.top_k(df).collect()))
+
+
 def test_top_k_of_odd_rows(spark):
     rows = [(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "x"), (1, [1.0, None], "x"), (2, None, "x"), (3, [float("nan"), 1.0], "x"), (4, [3.0], "x"), (5, [1.0, 1.0], "x"), (5, [1.0, 1.0], "x"), (None, [9.0, 9.0], "x"), (50, [2.0], "x"), (6, [float("inf"), 1.0], "x"), (100, [], "x"), (7, [-1.0, 0.5], "x")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
