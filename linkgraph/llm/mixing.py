@@ -3,10 +3,16 @@
 Every document gets a virtual finish time: the words its source has sent up to and with it, in a
 shuffled order, divided by the source's target. A source whose target exceeds its words sends its
 documents again, up to `repeats` times. All copies are dealt out by ranges of finish time; the range
-in which their words reach the budget is sorted, and the mix ends there.
+in which their words reach the budget is dealt out again by finer ones, until it holds few rows, which
+are sorted; the mix ends there. Copies of other ranges are taken or left whole, so nothing else needs
+to be sorted.
 
-Null text has no words and is never taken. A null source is a source of its own, the last one.
-Rows alike in id, source and size finish together, each taken as often. No documents give no rows.
+Defined results: null, empty and blank texts have no words and are never taken. A null source is a
+source of its own, the last one. Rows alike in id, source and size finish together, each taken as
+often; rows of one doc_id with other sources or sizes are documents of their own, and so are rows
+without doc_id. Equal finish times go by the shuffle, then by source, doc_id, size and turn. Texts of
+any length are read in whole. Columns other than doc_id, text and source don't matter, whatever their
+names; mixed_rows passes them on. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, packed, prefix_sums
 
+#: Ranges of finish time that one step deals copies to, and rows of the last one that are sorted, by one task.
+RANGES, SORTED = 4096, 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,6 +50,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) ->
     return per.select("src", "source_size", target.alias("target"))
 
 
+def shuffle_key(seed: int):
+    """62 bits by which the documents of a source are shuffled."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "src", "size"), 2)
+
+
+def first_beyond(turns: DataFrame, budget: int) -> DataFrame | None:
+    """One row, the key of the first copy, in the order of finish times, with which the words exceed the budget; None if they never do.
+
+    Each step sums the words by RANGES ranges of the range in which the budget ends: first of finish
+    times, then, among equal ones, of the shuffle. Only the sums come to the driver.
+    """
+    spent, inside = 0, turns
+    while True:
+        n, low, high, first, last = inside.agg(F.count("*"), F.min("finish"), F.max("finish"), F.min("mixed"), F.max("mixed")).first()
+        by, a, b = ("finish", low, high) if n and low < high else ("mixed", first, last)
+        if n <= SORTED or a == b:
+            break
+        at = F.least(F.lit(RANGES - 1), F.floor((F.col(by) - F.lit(a)) * (RANGES / (b - a)))).cast("int")
+        sums = inside.groupBy(at.alias("at")).agg(F.sum("words").alias("words")).orderBy("at").collect()  # RANGES rows at most
+        for r in sums:
+            if spent + r["words"] > budget:
+                inside = inside.where(at == r["at"])
+                break
+            spent += r["words"]
+        else:
+            return None
+    order = W.orderBy("key").rowsBetween(W.unboundedPreceding, 0)  # over SORTED rows at most
+    upto = inside.select(F.struct("finish", "mixed", "src", "doc_id", "size", "turn").alias("key"), "words").withColumn("upto", F.sum("words").over(order) + spent)
+    found = upto.where(F.col("upto") > budget).agg(F.min("key").alias("key"))
+    return found if found.first()["key"] is not None else None
+
+
 def takings(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, rows_a_bucket: int = 1_000) -> DataFrame:
     """doc_id, src, size, n (rows that are alike in these), source_size, target, turns (how often the mix takes each of them)."""
     scratch = Scratch()
@@ -53,8 +93,8 @@ def takings(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int
         return spark.createDataFrame([], sizes.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("turns")).schema)
     buckets = max(1, min(rows // rows_a_bucket, 1 << 16))
     targets = source_targets(sizes, weights, repeats).select(F.col("src").alias("_src"), "source_size", "target")
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    shuffled = sizes.withColumns({"mixed": mixed, "words": F.col("size") * F.col("n"), "slot": F.floor(F.pmod(F.shiftrightunsigned(mixed, 1), F.lit(1 << 20)) * buckets / (1 << 20)).cast("long")})
+    mixed = shuffle_key(seed)
+    shuffled = sizes.withColumns({"mixed": mixed, "words": F.col("size") * F.col("n"), "slot": F.floor(mixed * (buckets / (1 << 62))).cast("long")})
     sent = prefix_sums(shuffled, "src", "slot", ["mixed", F.col("doc_id").asc_nulls_first(), "size"], "words", "sent")
     sent = sent.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, F.col("src").eqNullSafe(F.col("_src"))).drop("_src", "slot", "words")
     sent = scratch(sent, "mix-sent")
@@ -62,20 +102,8 @@ def takings(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int
     place = F.col("turn") * F.col("source_size") + F.col("sent")
     # what comes later than a source's target and the longest document can't be reached before the budget is spent
     turns = turns.where(place <= F.col("target") + 2 * longest + 1).select((place / F.col("target")).alias("finish"), "src", "mixed", "doc_id", "size", "turn", (F.col("size") * F.col("n")).alias("words"))
-    high = turns.agg(F.max("finish")).first()[0]
-    if high is None:
-        return sent.select("doc_id", "src", "size", "n", "source_size", "target", F.lit(0).alias("turns"))
-    ranges = max(1, min(repeats * rows // rows_a_bucket, 1 << 12))
-    turns = turns.withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * (ranges / high))).cast("int"))
-    by_range = turns.groupBy("range").agg(F.sum("words").alias("words")).select("range", F.sum("words").over(W.orderBy("range")).alias("upto"), "words")
-    edge = by_range.where(F.col("upto") > budget).orderBy("range").limit(1).first()  # the range in which the budget ends
-    last = None
-    if edge:
-        key = F.struct("finish", "src", "mixed", "doc_id", "size", "turn")
-        inside = turns.where(F.col("range") == edge["range"]).select(key.alias("key"), "words")
-        inside = inside.withColumn("spent", F.sum("words").over(W.orderBy("key").rowsBetween(W.unboundedPreceding, 0)) + (edge["upto"] - edge["words"]))
-        last = inside.agg(F.min(F.when(F.col("spent") > budget, F.col("key"))).alias("key"))  # the first copy beyond the budget
-    finishes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda t: F.struct(((t * F.col("source_size") + F.col("sent")) / F.col("target")).alias("finish"), F.col("src"), F.col("mixed"), F.col("doc_id"), F.col("size"), t.alias("turn")))
+    last = first_beyond(turns, budget)
+    finishes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda t: F.struct(((t * F.col("source_size") + F.col("sent")) / F.col("target")).alias("finish"), F.col("mixed"), F.col("src"), F.col("doc_id"), F.col("size"), t.alias("turn")))
     if last is not None:
         sent = sent.crossJoin(F.broadcast(last))  # one row
         fits = F.size(F.filter(finishes, lambda x: x < F.col("key")))

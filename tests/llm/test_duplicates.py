@@ -312,6 +312,35 @@ def test_mix_reaches_its_targets(spark):
     assert total - 200 <= sum(g.taken for g in got) <= total
 
 
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_mix_equals_a_queue(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    monkeypatch.setattr(mixing, "SORTED", 5)
+    r = random.Random(9)
+    rows = [(r.choice([i, i, 7, None]), " ".join(["w"] * r.randint(0, 9)), r.choice("aaaabcd")) for i in range(400)] + [(i, "one two", f"s{i}") for i in range(1000, 1090)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(g.doc_id, g.src, g.size): g for g in mixing.takings(df.repartition(3), repeats=3, seed=5).collect()}
+    keyed = spark.createDataFrame(list(got), "doc_id bigint, src string, size bigint").select("*", mixing.shuffle_key(5).alias("m")).collect()
+    queues, copies = defaultdict(list), []
+    for k in sorted(keyed, key=lambda x: (x.src, x.m)):
+        queues[k.src].append(k)
+    for src, queue in queues.items():  # each source sends its documents in the shuffled order, three times
+        sent = 0
+        for turn in range(3):
+            for k in queue:
+                g = got[k.doc_id, src, k.size]
+                sent += k.size * g.n
+                if k.size:
+                    copies.append((sent / g.target, k.m, src, k.doc_id or 0, k.size, turn, k.size * g.n, (k.doc_id, src, k.size)))
+    taken, spent, budget = defaultdict(int), 0, sum(len(t.split()) for _, t, _ in rows)
+    for c in sorted(copies, key=lambda c: c[:6]):
+        spent += c[6]
+        if spent > budget:
+            break
+        taken[c[7]] += 1
+    assert {k: g.turns for k, g in got.items()} == {k: taken[k] for k in got} and sum(taken.values()) > 200
+
+
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(g.taken <= 3 * g.size for g in got)
