@@ -12,10 +12,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to Python, where the session has Spark's default: rows hold whole texts, and several operators of a task hold a batch each.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "64m", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, whatever their path; once for each application."""
+    key, default, ours = BATCH_BYTES
+    if spark.conf.get(key, default).rstrip("b") in (default, str(64 << 20)):
+        spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -29,12 +34,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_by_hand.get() if set_by_hand.isDefined() else None
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "linkgraph-shared")
     return f"{base.rstrip('/')}/linkgraph"
 
