@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, HOT_KEYS, Scratch, bitmap, maybe_in, packed
+from .common import BITMAP_BITS, HOT_KEYS, Scratch, bitmap, has_bit, maybe_in, packed
 from .textops import ALNUM, U, Words, chunks, mix, sequence_hash
 
 WINDOW, K = 10, 5
@@ -95,7 +95,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def _mask(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Bitmap of the items' fingerprints, BITMAP_BITS at most, and the lengths of short windows."""
+    """Bitmap of the items' fingerprints as bytes, BITMAP_BITS / 8 at most, and the lengths of short windows."""
     fp = windows.select("len", F.explode("fps").alias("fp")).distinct()
     lens = sorted(r["len"] for r in fp.select("len").where(F.col("len") < WINDOW).distinct().collect())  # nine at most
     count = fp.count()
@@ -105,10 +105,10 @@ def _mask(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     slot = F.shiftrightunsigned("fp", 20).bitwiseAND(F.lit(bits - 1))
     chunk = 1 << 15
     rows = fp.select(F.floor(slot / chunk).cast("int").alias("c"), (slot % chunk).cast("int").alias("s")).groupBy("c").agg(F.bitmap_construct_agg("s").alias("m")).collect()
-    mask = np.zeros(bits, bool)
+    mask = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        at = r["c"] * chunk
-        mask[at : at + chunk] = np.unpackbits(np.frombuffer(r["m"], np.uint8)[: chunk // 8], bitorder="little")
+        at = r["c"] * (chunk // 8)
+        mask[at : at + chunk // 8] = np.frombuffer(r["m"], np.uint8)[: chunk // 8]
     return mask, lens
 
 
@@ -121,7 +121,7 @@ def _scan(shared, bits: int, lens: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        has = np.unpackbits(shared.value).astype(bool)
+        mask = shared.value
         number = TaskContext.get().partitionId() << 40
         for b in batches:
             for i, _, buf, offs in chunks(b.column("text")):
@@ -136,12 +136,12 @@ def _scan(shared, bits: int, lens: list[int]):
                     around += [w.text(x, y).decode("utf8", "replace") for x, y in zip(first, last, strict=True)]
 
                 g, at = w.grams(K), winnow(w)
-                at = at[has[_bit(g[at], bits)]]
+                at = at[has_bit(mask, _bit(g[at], bits))]
                 if len(at):
                     add(at, np.maximum(w.first[row[at]], at - (WINDOW - K)), np.minimum(w.first[row[at] + 1], at + WINDOW), WINDOW, g)
                 for length in lens:
                     h = short_hashes(w, length)
-                    at = np.flatnonzero(has[_bit(h, bits)] & (h != 0))
+                    at = np.flatnonzero(has_bit(mask, _bit(h, bits)) & (h != 0))
                     if len(at):
                         add(at, at, at + length, length, h)
                 take = np.concatenate(rows)
@@ -158,9 +158,9 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame
     spark = docs.sparkSession
     windows = scratch(item_windows(items), "decon-items")
     mask, lens = _mask(windows)
-    shared = spark.sparkContext.broadcast(np.packbits(mask))  # BITMAP_BITS / 8 bytes at most
+    shared = spark.sparkContext.broadcast(mask)  # BITMAP_BITS / 8 bytes at most
     told = docs.select(F.col("doc_id").alias("id"), *_text_key(F.col("text")), "text")
-    seen = scratch(told.mapInArrow(_scan(shared, len(mask), lens), "id bigint, h1 bigint, h2 bigint, row bigint, start int, len int, fp bigint, around string"), "decon-seen")
+    seen = scratch(told.mapInArrow(_scan(shared, 8 * len(mask), lens), "id bigint, h1 bigint, h2 bigint, row bigint, start int, len int, fp bigint, around string"), "decon-seen")
     counts = seen.where("start = -1").select("row", F.col("id").alias("doc_id"), "h1", "h2", F.col("len").cast("long").alias("n_words"))
     size = windows.agg(F.sum(F.length("win") + F.length("id") + 16 * F.size("fps") + 32)).first()[0] or 0
     side = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)

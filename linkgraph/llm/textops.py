@@ -18,7 +18,7 @@ _inv = np.ones(1, U)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + 2)
         a = np.full(size, _P, U)
         b = np.full(size, _PINV, U)
         a[0] = b[0] = 1
