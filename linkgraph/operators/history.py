@@ -23,7 +23,11 @@ class Conflict(RuntimeError):
 
 
 class CommitLog:
-    """A folder of commits. One writer: a commit names the one it builds on, and is refused if another came in between."""
+    """A folder of commits. A commit names the one it builds on, and is refused if another came in between.
+
+    A commit first claims its number by creating a file of that name, which the file system lets one
+    writer do; a claim whose writer fails is given back.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -47,9 +51,26 @@ class CommitLog:
         have = set(changes.columns)
         cols = [F.lit(n).cast("bigint").alias("commit"), F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("at")]
         cols += [(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in ("op", "key", "label", "props", "etype", "src", "dst", "rule")]
-        changes.select(*cols).write.mode("append").parquet(self.path)
+        fs, claim = self._claim(n)
+        try:
+            changes.select(*cols).write.mode("append").parquet(self.path)
+        except Exception:
+            fs.delete(claim, False)
+            raise
         return n
 
+    def _claim(self, n: int):
+        jvm = self.spark.sparkContext._jvm
+        claim = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}-claims/{n}")
+        fs = claim.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            made = fs.createNewFile(claim)
+        except Exception as e:
+            raise Conflict(f"commit {n} can't be claimed: {e}") from e
+        if not made:
+            raise Conflict(f"another writer makes commit {n}")
+        return fs, claim
+
     def commit_at(self, when: dt.datetime) -> int:
         """The last commit at or before an instant, 0 if there is none."""
         at = F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
