@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,28 @@ from ..storage import Scratch, ship
 from .components import components
 
 
+#: Nodes and edges together up to which one task runs an algorithm on arrays: some 100 bytes each. Beyond it the iterations are distributed.
+SMALL = 4_000_000
+
+
+def _arrays(nodes: DataFrame, edges: DataFrame, kernel, value: str) -> DataFrame:
+    """key and a value of each node (key): kernel(n, src, dst, w) in one task, nodes numbered in the order of their keys. edges: src, dst, w between nodes."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        bare = t.column("dst").is_null().to_numpy()
+        src = t.column("src").to_numpy(zero_copy_only=False)
+        keys = np.sort(src[bare].astype(str).astype(object))
+        at = pd.Index(keys)
+        s, d = at.get_indexer(src[~bare]), at.get_indexer(t.column("dst").to_numpy(zero_copy_only=False)[~bare])
+        out = kernel(keys, s, d, t.column("w").to_numpy()[~bare])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out)], ["key", value.split()[0]])
+
+    none = F.lit(None).cast("string")
+    rows = nodes.select(F.col("key").alias("src"), none.alias("dst"), F.lit(0.0).alias("w")).unionAll(edges.select("src", "dst", "w"))
+    return rows.coalesce(1).mapInArrow(run, f"key string, {value}")
+
+
 def weighted_edges(g: PropertyGraph, types: Iterable[str] | None, weight_prop: str | None, min_weight: float | None) -> DataFrame:
     """src, dst, w between nodes of the graph; without weights parallel edges count once."""
     out = None
@@ -47,6 +71,8 @@ def pagerank(g: PropertyGraph, types: Iterable[str] | None = None, damping: floa
         return nodes.select("key", F.lit(0.0).alias("score"))
     ends = nodes.select(F.col("key").alias("src"))
     e = e.join(ends, "src", "left_semi").join(nodes.select(F.col("key").alias("dst")), "dst", "left_semi")
+    if n <= SMALL and (e := scratch(e, "pr-links")).count() + n <= SMALL:
+        return _arrays(nodes, e, _rank_kernel(damping, max_iter, tol), "score double")
     total = e.groupBy("src").agg(F.sum("w").alias("total"))
     e = scratch(e.join(total, "src").where("total > 0").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "pr-edges")
     sends = e.select(F.col("src").alias("key")).distinct().withColumn("sends", F.lit(True))
@@ -65,6 +91,38 @@ def pagerank(g: PropertyGraph, types: Iterable[str] | None = None, damping: floa
     return rank.select("key", "score")
 
 
+def _rank_kernel(damping: float, max_iter: int, tol: float):
+    def run(keys, s, d, w):
+        n = len(keys)
+        total = np.bincount(s, weights=w, minlength=n)
+        share = np.divide(w, total[s], out=np.zeros(len(w)), where=total[s] > 0)
+        lost = total <= 0
+        score = np.full(n, 1.0 / n)
+        for _ in range(max_iter):
+            new = (1 - damping) / n + damping * (np.bincount(d, weights=score[s] * share, minlength=n) + score[lost].sum() / n)
+            moved, score = np.abs(new - score).sum(), new
+            if moved < tol:
+                break
+        return score
+
+    return run
+
+
+def _component_kernel(keys, s, d, w):
+    """The smallest key of each node's component: labels fall along edges and by pointer jumping until nothing changes."""
+    label = np.arange(len(keys))
+    while True:
+        low = np.minimum(label[s], label[d])
+        new = label.copy()
+        np.minimum.at(new, label[s], low)
+        np.minimum.at(new, label[d], low)
+        new = new[new]
+        new = np.minimum(new, new[new])
+        if np.array_equal(new, label):
+            return keys[label].tolist()
+        label = new
+
+
 def connected_components(g: PropertyGraph, types: Iterable[str] | None = None, labels: Iterable[str] | None = None) -> DataFrame:
     """key, component: the smallest key that can be reached over edges in any direction."""
     ship(g.spark)
@@ -73,6 +131,13 @@ def connected_components(g: PropertyGraph, types: Iterable[str] | None = None, l
     e = g.all_edges(types).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     if labels is not None:
         e = e.join(nodes.select(F.col("key").alias("a")), "a", "left_semi").join(nodes.select(F.col("key").alias("b")), "b", "left_semi")
+    size = nodes.count()
+    if not size:
+        return nodes.select("key", F.col("key").alias("component"))
+    if size <= SMALL and (e := scratch(e.distinct(), "cc-links")).count() + size <= SMALL:
+        known = nodes.select(F.col("key").alias("a"))
+        e = e.join(known, "a", "left_semi").join(known.withColumnRenamed("a", "b"), "b", "left_semi")
+        return _arrays(nodes, e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")), _component_kernel, "component string")
     found = components(e, scratch).withColumnRenamed("id", "key")
     return nodes.join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
