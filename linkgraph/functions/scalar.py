@@ -265,7 +265,9 @@ def _text_matches(field: V, query: V, stem: V | None = None) -> V:
         raise ValueError("textMatches takes its query as a literal or parameter")
     if not is_str(field.type) and not (is_list(field.type) and is_str(field.type.elementType)):
         return NULL
-    return V(matches(field.col, query.const), BOOL)
+    if stem is not None and not isinstance(stem.const, bool):
+        raise ValueError("textMatches takes true or false for stemming")
+    return V(matches(field.col, query.const, stem is None or stem.const), BOOL)
 
 
 def call(name: str, args: list[V]) -> V:

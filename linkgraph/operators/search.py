@@ -1,6 +1,6 @@
 """Full-text search ranked by BM25, vector search, and both together.
 
-Tokens are runs of letters and digits in lower case, stemmed on request. A query is groups joined by
+Tokens are runs of letters and digits in lower case, stemmed unless the caller asks for them as they are. A query is groups joined by
 OR; in a group all terms must match: words, "phrases", prefix* and -exclusions.
 """
 
@@ -42,7 +42,7 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def parse_query(text: str, stem: bool = False) -> list[Group]:
+def parse_query(text: str, stem: bool = True) -> list[Group]:
     """Groups of a query; a group of exclusions only is dropped."""
     fix = stem_word if stem else (lambda w: w)
     groups = [Group()]
@@ -68,12 +68,19 @@ def parse_query(text: str, stem: bool = False) -> list[Group]:
     return [g for g in groups if g.positive]
 
 
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem_word(t) for t in ts])
 
 
-def tokens(text: Column, stem: bool = False) -> Column:
+@F.pandas_udf(T.StringType())
+def stemmed_word(tokens: pd.Series) -> pd.Series:
+    return tokens.map(stem_word)
+
+
+def tokens(text: Column, stem: bool = True) -> Column:
     """Tokens of a text in order."""
     out = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return _stemmed(out) if stem else out
@@ -110,7 +117,7 @@ def _holds(ts: Column, g: Group) -> Column:
     return out
 
 
-def matches(text: Column, query: str, stem: bool = False) -> Column:
+def matches(text: Column, query: str, stem: bool = True) -> Column:
     """Whether a text matches a query; no index is needed."""
     groups = parse_query(query, stem)
     ts = tokens(text, stem)
@@ -120,7 +127,7 @@ def matches(text: Column, query: str, stem: bool = False) -> Column:
     return F.when(text.isNotNull(), out)
 
 
-def _corpus(g: PropertyGraph, name: str, stem: bool, label: str | None) -> DataFrame:
+def corpus(g: PropertyGraph, name: str, stem: bool, label: str | None) -> DataFrame:
     out = None
     for lab, df in sorted(g.nodes.items()):
         if name in df.columns and (label is None or lab == label):
@@ -129,14 +136,14 @@ def _corpus(g: PropertyGraph, name: str, stem: bool, label: str | None) -> DataF
     return out if out is not None else g.spark.createDataFrame([], "key string, ts array<string>")
 
 
-def search(g: PropertyGraph, name: str, query: str, k: int | None = 10, stem: bool = False, label: str | None = None) -> DataFrame:
+def search(g: PropertyGraph, name: str, query: str, k: int | None = 10, stem: bool = True, label: str | None = None) -> DataFrame:
     """key, score: the k best nodes whose field matches the query, by BM25; ties by key.
 
     The corpus is read once for its statistics and once for the matches; only counts of the query's terms are shuffled.
     """
     ship(g.spark)
     groups = parse_query(query, stem)
-    docs = _corpus(g, name, stem, label).select("key", F.filter("ts", lambda t: t != "").alias("words"), "ts")
+    docs = corpus(g, name, stem, label).select("key", F.filter("ts", lambda t: t != "").alias("words"), "ts")
     if not groups:
         return docs.select("key", F.lit(0.0).alias("score")).limit(0)
     words = sorted({w for x in groups for w in x.words} | {w for x in groups for ph in x.phrases for w in ph})
@@ -199,7 +206,7 @@ def pairwise_similar(g: PropertyGraph, keys: Iterable[str], name: str, k: int =
     return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
 
-def search_hybrid(g: PropertyGraph, text_field: str, query: str, vector_field: str, vector: list[float], k: int = 10, label: str | None = None, stem: bool = False) -> DataFrame:
+def search_hybrid(g: PropertyGraph, text_field: str, query: str, vector_field: str, vector: list[float], k: int = 10, label: str | None = None, stem: bool = True) -> DataFrame:
     """key, score: reciprocal ranks of both searches, 4 k deep each, added up; ties by key."""
     by = W.orderBy(F.col("score").desc(), "key")  # over 4 k rows
     legs = [search(g, text_field, query, 4 * k, stem, label), find_similar(g, vector_field, vector, label, 4 * k, 0.0)]
@@ -208,15 +215,15 @@ def search_hybrid(g: PropertyGraph, text_field: str, query: str, vector_field: s
     return both.orderBy(F.col("score").desc(), "key").limit(k)
 
 
-def recall(g: PropertyGraph, topic: str, fields: Iterable[str], k: int = 10, terms_most: int = 24) -> DataFrame:
+def recall(g: PropertyGraph, topic: str, fields: Iterable[str], k: int = 10, terms_most: int = 24, stem: bool = True) -> DataFrame:
     """key, coverage, score: nodes that hold at least half of the topic's terms in some field, by coverage, score, key."""
-    terms = list(dict.fromkeys(words_of(topic)))[:terms_most]
+    terms = list(dict.fromkeys((stem_word if stem else str)(w) for w in words_of(topic)))[:terms_most]
     if not terms:
         return g.spark.createDataFrame([], "key string, coverage bigint, score double")
     out = None
     for f in fields:
-        hits = search(g, f, " OR ".join(terms), None).select("key", "score")
-        cov = _corpus(g, f, False, None).select("key", sum((F.array_contains("ts", t).cast("int") for t in terms), F.lit(0)).alias("coverage"))
+        hits = search(g, f, " OR ".join(words_of(topic)[:terms_most]), None, stem).select("key", "score")
+        cov = corpus(g, f, stem, None).select("key", sum((F.array_contains("ts", t).cast("int") for t in terms), F.lit(0)).alias("coverage"))
         x = hits.join(cov, "key")
         out = x if out is None else out.unionAll(x)
     out = out.groupBy("key").agg(F.max("coverage").cast("bigint").alias("coverage"), F.max("score").alias("score"))
@@ -236,7 +243,7 @@ def identity_clusters(g: PropertyGraph, label: str, name: str, aliases: str | No
     scratch = Scratch()
     df = g.nodes[label]
     forms = df.select(F.col("key").alias("who"), F.explode(F.concat(F.array(name), F.coalesce(aliases, F.array()) if aliases else F.array())).alias("form")).where("form is not null")
-    forms = forms.select("who", F.concat_ws("|", "who", "form").alias("key"), tokens(F.col("form")).alias("ts"))
+    forms = forms.select("who", F.concat_ws("|", "who", "form").alias("key"), tokens(F.col("form"), False).alias("ts"))
     p = pairs(Overlap("ts", least), forms, forms)
     of = forms.select("key", "who").distinct()
     links = p.join(of.select(F.col("key").alias("s"), F.col("who").alias("a")), "s").join(of.select(F.col("key").alias("d"), F.col("who").alias("b")), "d").where("a < b").groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import PropertyGraph
-from .operators import access, algo, catalog, history, rules, search, traverse, views, writes
+from .operators import access, algo, catalog, history, rules, search, textindex, traverse, views, writes
 from .sources import files
 from .sources.tables import load
 from .storage import shared_dir
@@ -140,7 +140,7 @@ cypher("date_construct", "Event", "MATCH (e:Event) RETURN e.event_id AS k, date(
 cypher("duration_text", "Order", "MATCH (o:Order) RETURN o.o_orderkey AS k, toString(duration.inDays(date('1990-01-01'), date(o.o_orderdate))) AS d, toString(duration.inMonths(date('1990-01-15'), date(o.o_orderdate))) AS m, toString(duration({months: 14, days: 3, hours: 5}) + duration('PT1M')) AS s", "select o_orderkey as k, case when d = 0 then 'PT0S' else 'P' || d || 'D' end as d, case when m = 0 then 'PT0S' else 'P' || case when m >= 12 then (m // 12) || 'Y' else '' end || case when m % 12 > 0 then (m % 12) || 'M' else '' end end as m, 'P1Y2M3DT5H1M' as s from (select o_orderkey, datediff('day', date '1990-01-01', cast(o_orderdate as date)) as d, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 - case when day(o_orderdate) < 15 then 1 else 0 end as m from orders)")
 cypher("date_plus_duration", "Order", "MATCH (o:Order) WITH o.o_orderkey AS k, date(o.o_orderdate) AS d, o.o_orderdate AS t RETURN k, d + duration({months: 1}) AS m, d - duration('P10D') AS b, t + duration({hours: 36}) AS h", "select o_orderkey as k, cast(cast(o_orderdate as date) + interval 1 month as date) as m, cast(cast(o_orderdate as date) - interval 10 day as date) as b, o_orderdate + interval 36 hour as h from orders")
 cypher("decay", "Customer", "MATCH (c:Customer) RETURN c.c_custkey AS k, round(decay(c.c_acctbal, c.c_nationkey, 5) * 100) AS d", "select c_custkey as k, round(c_acctbal * power(0.5, c_nationkey / 5.0) * 100) as d from customer")
-cypher("text_matches", "Doc", "MATCH (d:Doc) WHERE textMatches(d.text, 'the -idiot OR token') RETURN d.doc_id AS k", "select doc_id as k from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents) where (list_contains(t, 'the') and not list_contains(t, 'idiot')) or list_contains(t, 'token')")
+cypher("text_matches", "Doc", "MATCH (d:Doc) WHERE textMatches(d.text, 'the -idiot OR token', false) RETURN d.doc_id AS k", "select doc_id as k from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents) where (list_contains(t, 'the') and not list_contains(t, 'idiot')) or list_contains(t, 'token')")
 
 # ---- rules ---------------------------------------------------------------------------------------------------------
 
@@ -317,12 +317,37 @@ def _bm25(terms: list[str]) -> str:
 
 @add("fulltext_search", f"with {_bm25(['the', 'of'])} select 'doc:' || doc_id as key, round(s0 + s1, 6) as score from sc where f0 > 0 and f1 > 0 order by s0 + s1 desc, key limit 10")
 def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(load(spark, sf_dir, ["Doc"]), "text", "the of").select("key", F.round("score", 6).alias("score"))
+    return search.search(load(spark, sf_dir, ["Doc"]), "text", "the of", stem=False).select("key", F.round("score", 6).alias("score"))
 
 
 @add("fulltext_phrase_prefix_neg", "select 'doc:' || doc_id as key from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents) where (contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') and len(list_filter(t, lambda x: starts_with(x, 'thand'))) > 0 and not list_contains(t, 'idiot')) or list_contains(t, 'license')")
 def fulltext_phrase_prefix_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(load(spark, sf_dir, ["Doc"]), "text", '"of the" thand* -idiot OR license OR -x', None).select("key")
+    return search.search(load(spark, sf_dir, ["Doc"]), "text", '"of the" thand* -idiot OR license OR -x', None, stem=False).select("key")
+
+
+#: All forms of two words, as the stemmer sees them.
+_ONE, _LICENSE = "('one', 'oned', 'ones', 'oning', 'oningly', 'onedly')", "('license', 'licensed', 'licenses', 'licensing')"
+cypher("text_matches_stemmed", "Doc", "MATCH (d:Doc) WHERE textMatches(d.text, 'licenses -oning') RETURN d.doc_id AS k", f"select doc_id as k from (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as t from documents) where len(list_filter(t, lambda x: x in {_LICENSE})) > 0 and len(list_filter(t, lambda x: x in {_ONE})) = 0")
+_STEMMED = _bm25(["one", "license"]).replace("lambda x: x = 'one'", f"lambda x: x in {_ONE}").replace("lambda x: x = 'license'", f"lambda x: x in {_LICENSE}")
+_INDEXES: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The written index of the documents' texts, built once for each application and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = textindex.TextIndex(load(spark, sf_dir, ["Doc"]), "text")
+    return _INDEXES[at]
+
+
+@add("fulltext_index", f"with {_STEMMED} select 'doc:' || doc_id as key, round(s0 + s1, 6) as score from sc where f0 > 0 and f1 > 0 order by s0 + s1 desc, key limit 10")
+def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_index(spark, sf_dir).search("oned licensing").select("key", F.round("score", 6).alias("score"))
+
+
+@add("fulltext_index_phrase", "select 'doc:' || doc_id as key from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents) where (list_contains(list_transform(range(1, len(t)), lambda i: t[i] in ('the', 'thes') and t[i + 1] in ('of', 'ofs')), true) and len(list_filter(t, lambda x: starts_with(x, 'licens'))) > 0) and not list_contains(t, 'token')")
+def fulltext_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_index(spark, sf_dir).search('"the of" licens* -token', None).select("key")
 
 
 _VECTOR = [1.0, -0.5, 0.25, 0.125] * 16
@@ -347,12 +372,12 @@ def _texts_and_vectors(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 @add("hybrid_rrf", f"with {_bm25(['with'])}, tx as (select 'doc:' || doc_id as key, row_number() over (order by s0 desc, 'doc:' || doc_id) as r from sc where f0 > 0 qualify r <= 40), vx as (select 'doc:' || vec_id as key, row_number() over (order by {_COSINE} desc, 'doc:' || vec_id) as r from embeddings join documents on doc_id = vec_id where {_COSINE} >= 0 qualify r <= 40) select coalesce(tx.key, vx.key) as key, round(coalesce(1.0 / (60 + tx.r), 0) + coalesce(1.0 / (60 + vx.r), 0), 6) as score from tx full join vx on tx.key = vx.key order by coalesce(1.0 / (60 + tx.r), 0) + coalesce(1.0 / (60 + vx.r), 0) desc, 1 limit 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_hybrid(_texts_and_vectors(spark, sf_dir), "text", "with", "embedding", _VECTOR).select("key", F.round("score", 6).alias("score"))
+    return search.search_hybrid(_texts_and_vectors(spark, sf_dir), "text", "with", "embedding", _VECTOR, stem=False).select("key", F.round("score", 6).alias("score"))
 
 
 @add("recall", f"with {_bm25(['with', 'thand', 'idiot'])} select 'doc:' || doc_id as key, cast((f0 > 0)::int + (f1 > 0)::int + (f2 > 0)::int as bigint) as coverage, round(s0 + s1 + s2, 6) as score from sc where ((f0 > 0)::int + (f1 > 0)::int + (f2 > 0)::int) * 2 >= 3 order by coverage desc, s0 + s1 + s2 desc, key limit 10")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recall(load(spark, sf_dir, ["Doc"]), "with thand idiot", ["text"]).select("key", "coverage", F.round("score", 6).alias("score"))
+    return search.recall(load(spark, sf_dir, ["Doc"]), "with thand idiot", ["text"], stem=False).select("key", "coverage", F.round("score", 6).alias("score"))
 
 
 @add("identity_clusters", "select 'page:' || page_id as key, min('page:' || page_id) over (partition by h) as cluster from (select page_id, regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([^/?#]+)', 1) as h from pages)")

@@ -336,3 +336,46 @@ def test_approximate_vectors_find_nine_in_ten(spark, least):
     assert len(dict(got)) == len(got) and all(abs(want[k] - v) < 1e-9 for k, v in got)
     close = {k for k, v in want.items() if v < least + 0.1 and k[0] != k[1]}
     assert len(close) > 500 and len(close & dict(got).keys()) >= 0.9 * len(close) and len(got) >= 0.9 * len(want)
+
+
+def test_array_kernels_equal_the_distributed_iterations(spark, monkeypatch):
+    import random
+
+    from linkgraph.operators import algo
+
+    r = random.Random(3)
+    keys = [f"k{i}" for i in range(60)]
+    links = [(r.choice(keys[:30]), r.choice(keys[:30]), r.random()) for _ in range(40)] + [(r.choice(keys[30:45]), r.choice(keys[30:45]), 1.0) for _ in range(12)]
+    g = PropertyGraph(spark).with_nodes("N", spark.createDataFrame([(k,) for k in keys], "key string")).with_edges("E", spark.createDataFrame(links, "src string, dst string, w double"))
+    runs = []
+    for most in (4_000_000, 0):
+        monkeypatch.setattr(algo, "SMALL", most)
+        ranks = [{x.key: round(x.score, 10) for x in algo.pagerank(g, direction=way, weight_prop=w, max_iter=8).collect()} for way, w in (("out", None), ("both", "w"))]
+        runs.append((ranks, {x.key: x.component for x in algo.connected_components(g).collect()}))
+    assert runs[0] == runs[1] and abs(sum(runs[0][0][0].values()) - 1) < 1e-6
+
+
+def test_text_index_equals_search_without_one(spark):
+    from linkgraph.operators.textindex import TextIndex
+
+    d = spark.createDataFrame([("1", "The quick brown fox jumps; the fox runs"), ("2", "quick foxes run"), ("3", "brown bears running"), ("4", None), ("5", ""), ("6", "fox and brown fox")], "key string, body string")
+    g = PropertyGraph(spark).with_nodes("D", d)
+    for stem in (True, False):
+        index = TextIndex(g, "body", stem=stem)
+        for q in ("fox", "quick run", "brown OR run*", '"brown fox" OR bears', "brown -fox", '"fox run"', "-fox", "nothing"):
+            assert {r.key: round(r.score, 9) for r in index.search(q, None).collect()} == {r.key: round(r.score, 9) for r in search.search(g, "body", q, None, stem=stem).collect()}, (q, stem)
+        index.drop()
+
+
+def test_two_writers_of_one_commit(spark, tmp_path):
+    import datetime as dt
+
+    from linkgraph.operators import history
+
+    log = history.CommitLog(spark, str(tmp_path / "log"))
+    rows = spark.createDataFrame([("put_node", "a", "L", "{}")], "op string, key string, label string, props string")
+    assert log.append(rows, dt.datetime(2024, 1, 1)) == 1
+    log._claim(2)  # another writer is at it
+    with pytest.raises(history.Conflict):
+        log.append(rows, dt.datetime(2024, 1, 2), base=1)
+    assert log.head() == 1
