@@ -234,27 +234,38 @@ def cosine(a: Column, b: Column) -> Column:
 BLOCK_ROWS = 2048
 
 
-def _vector_blocks(df: DataFrame, name: str) -> DataFrame:
-    """Unit vectors of a side in blocks: dim, ids, m (rows of 64-bit floats)."""
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their unit vectors) for each length of vector in column x; vectors with a null or infinite component, or without length, are left out."""
+    column = batch.column("x")
+    offsets, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False).astype(float)
+    length = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
+    for n in np.unique(length[length > 0]):
+        rows = np.flatnonzero(length == n)
+        m = values[offsets[rows][:, None] + np.arange(n)]
+        norm = np.linalg.norm(m, axis=1)
+        ok = np.isfinite(norm) & (norm > 0)
+        if ok.any():
+            yield rows[ok], m[ok] / norm[ok, None]
+
+
+def _vector_blocks(df: DataFrame, name: str, grid: int) -> DataFrame:
+    """Unit vectors of a side in blocks: dim, ids, m (rows of 64-bit floats); each block stands in all cells of its row (s) or column (d) of a grid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[int, list] = {}
-            for k, v in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True):
-                m = np.array([np.nan if x is None else x for x in v], float)
-                n = np.linalg.norm(m)
-                if len(m) and np.isfinite(n) and n > 0:
-                    by.setdefault(len(m), []).append((k, m / n))
-            for dim, rows in by.items():
+            for rows, m in _units(b):
                 for i in range(0, len(rows), BLOCK_ROWS):
-                    part = rows[i : i + BLOCK_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[k for k, _ in part]], pa.list_(pa.string())), pa.array([np.stack([m for _, m in part]).tobytes()], pa.binary())], ["dim", "ids", "m"])
+                    ids = b.column("k").take(pa.array(rows[i : i + BLOCK_ROWS]))
+                    yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m[i : i + BLOCK_ROWS].tobytes()], pa.binary())], ["dim", "ids", "m"])
 
-    return df.select(F.col(name).alias("k"), "x").mapInArrow(run, "dim int, ids array<string>, m binary").select("dim", F.col("ids").alias(f"{name}_ids"), F.col("m").alias(f"{name}_m"))
+    own, other = ("i", "j") if name == "s" else ("j", "i")
+    made = df.select(F.col(name).alias("k"), "x").mapInArrow(run, "dim int, ids array<string>, m binary")
+    made = made.select("dim", F.col("ids").alias(f"{name}_ids"), F.col("m").alias(f"{name}_m"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(grid)).cast("int").alias(own))
+    return made.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
 
 
 def vector_similar(p: VectorSimilar, src: DataFrame, dst: DataFrame, approximate: bool = False) -> DataFrame:
-    """Exact: blocks of both sides meet, a matrix product for each two. Approximate: sign patterns of random projections, as many as the least cosine asks for, re-scored exactly."""
+    """Exact: blocks of both sides meet in the cells of a grid that is spread over the tasks, a matrix product for each two. Approximate: sign patterns of random projections, as many as the least cosine asks for, re-scored exactly."""
     from ..storage import ship
 
     s, d = _side(src, p.field, "s"), _side(dst, p.field, "d")
@@ -274,7 +285,9 @@ def vector_similar(p: VectorSimilar, src: DataFrame, dst: DataFrame, approximate
                     x, y = i[a : a + 100_000], j[a : a + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([si[k] for k in x], pa.string()), pa.array([di[k] for k in y], pa.string()), pa.array(score[x, y])], ["s", "d", "score"])
 
-    return _vector_blocks(s, "s").join(_vector_blocks(d, "d"), "dim").select("dim", "s_ids", "s_m", "d_ids", "d_m").mapInArrow(run, "s string, d string, score double")
+    grid = max(1, math.isqrt(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = _vector_blocks(s, "s", grid).join(_vector_blocks(d, "d", grid), ["dim", "i", "j"])
+    return met.select("dim", "s_ids", "s_m", "d_ids", "d_m").mapInArrow(run, "s string, d string, score double")
 
 
 #: Share of the pairs right at the least cosine that the tables are to find, and tables at most.
@@ -301,18 +314,14 @@ def _vector_hashed(p: VectorSimilar, s: DataFrame, d: DataFrame, tables: int, bi
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             planes: dict[int, np.ndarray] = {}
             for b in batches:
-                keys, units, codes = [], [], []
-                for k, v in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True):
-                    m = np.array([np.nan if x is None else x for x in v], float)
-                    norm = np.linalg.norm(m)
-                    if not len(m) or not np.isfinite(norm) or not norm > 0:
-                        continue
-                    if len(m) not in planes:
-                        planes[len(m)] = np.random.default_rng([seed, len(m)]).normal(size=(tables * bits, len(m)))
-                    on = (planes[len(m)] @ (m / norm) > 0).reshape(tables, bits)
-                    keys.append(k), units.append((m / norm).tobytes())
-                    codes.append(((on << np.arange(bits)).sum(1) + (np.arange(tables) << 24) + (len(m) << 32)).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(units, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], [n, f"{n}u", "h"])
+                for rows, m in _units(b):
+                    dim = m.shape[1]
+                    if dim not in planes:
+                        planes[dim] = np.random.default_rng([seed, dim]).normal(size=(tables * bits, dim))
+                    on = (m @ planes[dim].T > 0).reshape(len(m), tables, bits)
+                    codes = (on << np.arange(bits)).sum(2) + (np.arange(tables) << 24) + (dim << 32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * tables, pa.int32()), pa.array(codes.ravel().astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows)), pa.array([x.tobytes() for x in m], pa.binary()), lists], [n, f"{n}u", "h"])
 
         return df.select(F.col(n).alias("k"), "x").mapInArrow(run, f"{n} string, {n}u binary, h array<bigint>")
 

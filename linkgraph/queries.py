@@ -242,6 +242,21 @@ def suggest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x["rule"].name, x["detector"], x["est_edges"]) for x in found], "name string, detector string, est_edges bigint")
 
 
+@add("rule_vector_embeddings", "with v as (select 'vec:' || vec_id as k, cast(embedding as double[]) as e from embeddings) select a.k as src, b.k as dst, round(list_cosine_similarity(a.e, b.e), 5) as score from v a, v b where a.k <> b.k and list_cosine_similarity(a.e, b.e) >= 0.35")
+def rule_vector_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rules.RuleDef("similar", "Vec", "Vec", rules.VectorSimilar("embedding", 0.35), "SIMILAR")
+    return rules.fire(load(spark, sf_dir, ["Vec"]), r).select("src", "dst", F.round("score", 5).alias("score"))
+
+
+@add("rule_vector_recall", "select true as high, true as sound")
+def rule_vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate rule finds at least nine tenths of the exact one's edges, and no other."""
+    g = load(spark, sf_dir, ["Vec"])
+    exact, near = (rules.fire(g, rules.RuleDef("similar", "Vec", "Vec", rules.VectorSimilar("embedding", 0.3), "SIMILAR", approximate=a)).select("src", "dst") for a in (False, True))
+    both = exact.withColumn("e", F.lit(1)).join(near.withColumn("n", F.lit(1)), ["src", "dst"], "full_outer")
+    return both.agg((F.count("e") * 9 <= F.count_if(F.expr('e = 1 and n = 1')) * 10).alias("high"), (F.count_if(F.col('e').isNull()) == 0).alias("sound"))
+
+
 @add("rule_vector_approximate")
 def rule_vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rules.RuleDef("similar", "Vec", "Vec", rules.VectorSimilar("embedding", 0.3), "SIMILAR", approximate=True, max_edges=32)
