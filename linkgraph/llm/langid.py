@@ -6,7 +6,9 @@ numpy by backpropagation through time, on windows of a sample of labelled docume
 
 lang_pred is `und`, with score 0, for null text and text without letters. Documents without lang
 teach nothing; without any teacher every text is `und`. Repeated rows get the same label; among
-equal probabilities the language that sorts first wins.
+equal probabilities the language that sorts first wins. Texts of any length are read in whole, and
+only the training windows (max_rows documents, windows_each of each) are a sample. Columns other than
+doc_id, text and lang don't matter, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,8 +171,8 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 350, batch:
     return Network(langs, *[np.ascontiguousarray(p) for p in params])
 
 
-def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
-    """From documents with a lang whose crc32 of doc_id mod 4 isn't 2: WINDOWS_EACH windows at most of max_rows of them, by a hash of the id."""
+def train(docs: DataFrame, max_rows: int = MAX_ROWS, windows_each: int = WINDOWS_EACH) -> Network | None:
+    """From documents with a lang whose crc32 of doc_id mod 4 isn't 2: a sample of max_rows of them by a hash of the id, of each windows_each windows at most, spread over the whole text."""
     d = packed(docs, "doc_id", "text", "lang").where("lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2)
     # the sample's ids first, so that only its texts are carried: max_rows rows at most
     pick = d.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(max_rows).select("doc_id").distinct()
@@ -184,13 +186,13 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
                 first = np.searchsorted(row, np.arange(len(offs)))
                 for r in range(len(offs) - 1):
                     n = first[r + 1] - first[r]
-                    for k in np.unique(np.linspace(0, n - 1, WINDOWS_EACH).astype(int)) if n else ():
+                    for k in np.unique(np.linspace(0, n - 1, windows_each).astype(int)) if n else ():
                         at.append(i + r)
                         wins.append(x[:, first[r] + k].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), b.column("lang").take(pa.array(at, pa.int64())), pa.array(wins, pa.binary())], ["doc_id", "lang", "win"])
 
     rows = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(windows, "doc_id string, lang string, win binary")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "win").limit(max_rows * WINDOWS_EACH).select("lang", "win").collect()
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "win").limit(max_rows * windows_each).select("lang", "win").collect()
     if not got:
         return None
     langs = sorted({r["lang"] for r in got})
@@ -211,8 +213,8 @@ def labels(text: Column, model: Network | None) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def identify(docs: DataFrame, max_rows: int = MAX_ROWS, windows_each: int = WINDOWS_EACH) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang)."""
-    model = train(docs, max_rows)
+    model = train(docs, max_rows, windows_each)
     d = packed(docs, "doc_id", "text")
     return d.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), labels(F.col("text"), model).alias("l")).select("doc_id", "held_out", "l.lang_pred", "l.score")

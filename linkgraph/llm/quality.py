@@ -7,7 +7,10 @@ over the whole text.
 
 Null text counts as empty text, which has a score too. Labels that are null, or other than 0 and 1,
 teach nothing; with labels of one kind or none the score is their share, 0.5 without any. Repeated
-rows are scored alike. Only a sample of labelled rows of bounded size (max_rows) is ever collected.
+rows are scored alike; a score of just 0.5 is label 1. Only a sample of labelled rows of bounded size
+(max_rows) is ever collected. Texts of any length are read in whole; accepted_rows judges null and empty
+texts as any other. Columns other than those named don't matter, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,11 @@ models are bigram tables trained from labelled samples, and what is kept of them
 log-likelihood ratios, a literal of the plan.
 
 The place of the n-th match comes from the lengths of the matches and of the texts between them, as
-code points. Null text is empty and has no spans. Every row is judged alone, so repeated rows and
-ties need no rule, and no shuffle is needed.
+code points. Null and empty texts have no spans. Every row is judged alone: repeated rows and rows
+without doc_id get what their text gives, and no shuffle is needed. Matches of one kind never overlap, the
+leftmost goes first; spans of different kinds may, and go by start, then kind. Texts of any length are
+read in whole. Columns other than doc_id and text don't matter, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ itself at the least score less 10 and counts as its bytes (or as one unknown pie
 neighbours, if the vocabulary has no bytes), and among equal scores the piece that begins first wins.
 
 Null and empty texts have no tokens. Every row is counted alone; repeated rows get the same count.
+Texts and words of any length are read in whole. Columns other than doc_id and text don't matter,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ the URL judge it; they are trained from labelled URLs and become one column expr
 
 A null URL, or one without ://, has an empty host and path, fits no rule, and is judged by the trees
 on the statistics of an empty URL. Every row is judged alone: repeated rows get the same verdict.
+Rules of the same length can't both fit a URL; log-odds of just 0 allow. URLs of any length are read in
+whole. Columns other than page_id and url don't matter, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
