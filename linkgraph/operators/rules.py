@@ -165,6 +165,44 @@ def field_equal(p: FieldEqual, src: DataFrame, dst: DataFrame) -> DataFrame:
     return s.join(d.withColumnRenamed("x", "y"), F.col("x") == F.col("y")).select("s", "d", F.lit(1.0).alias("score"))
 
 
+#: Distinct tokens up to which sets are compared as bits; more are compared as arrays.
+FEW_TOKENS, WORD = 1024, 62
+
+
+def _overlap_bits(least: float, tokens: DataFrame) -> DataFrame:
+    """Overlap over few tokens (k, side, t): a set is a few integers, which its prefix rows carry along; a pair is taken where it meets first, so that none comes twice.
+
+    Tokens are numbered from the rarest on, so the first one that two sets share is the lowest bit of both.
+    """
+    spark = tokens.sparkSession
+    counts = sorted((r["n"], r["t"]) for r in tokens.groupBy("t").agg(F.count("*").alias("n")).collect())  # FEW_TOKENS at most
+    words = max(1, -(-len(counts) // WORD))
+    full = (1 << WORD) - 1
+    rows = [(t, i, *(full if w < i // WORD else (1 << i % WORD) - 1 if w == i // WORD else 0 for w in range(words)), *(1 << i % WORD if w == i // WORD else 0 for w in range(words))) for i, (_, t) in enumerate(counts)]
+    kind = tokens.schema["t"].dataType
+    fields = [T.StructField("t", kind), T.StructField("c", T.IntegerType())] + [T.StructField(f"{x}{w}", T.LongType()) for x in "mb" for w in range(words)]
+    codes = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
+    coded = tokens.join(codes, "t")
+    sets = coded.groupBy("side", "k").agg(F.sort_array(F.collect_list(F.struct("c", *[f"m{w}" for w in range(words)]))).alias("cs"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(words)])
+    size = F.size("cs")
+    longest = F.least(size, size - F.ceil(F.lit(float(least)) * size - 1e-9).cast("int") + 1)
+    prefix = sets.select("side", "k", size.alias("n"), *[f"b{w}" for w in range(words)], F.explode(F.slice("cs", F.lit(1), longest)).alias("x"))
+    # few tokens are few keys: each is cut into parts, so that all tasks have some
+    parts = 1 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(counts))
+    sides = []
+    for side, part in (("s", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")), ("d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))):
+        masks = [F.col(f"x.m{w}").alias(f"m{w}") for w in range(words)] if side == "s" else []
+        sides.append(prefix.where(F.col("side") == side).select(F.col("k").alias(side), F.col("n").alias(f"{side}n"), F.col("x.c").alias("c"), *masks, *[F.col(f"b{w}").alias(f"{side}{w}") for w in range(words)], part.alias("part")))
+    both = [F.col(f"s{w}").bitwiseAND(F.col(f"d{w}")) for w in range(words)]
+    first, shared = F.lit(True), F.lit(0)
+    for w, x in enumerate(both):
+        first = first & (x.bitwiseAND(F.col(f"m{w}")) == 0)
+        shared = shared + F.bit_count(x)
+    near = (F.col("sn") >= F.lit(least) * F.col("dn") - 1e-9) & (F.col("dn") >= F.lit(least) * F.col("sn") - 1e-9)
+    met = sides[0].join(sides[1], ["c", "part"]).where(near & first)
+    return met.select("s", "d", (shared / (F.col("sn") + F.col("dn") - shared)).alias("score")).where(F.col("score") >= least)
+
+
 def overlap(p: Overlap, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Jaccard of token sets. Sets of at least min share a token among the rarest n - ceil(min * n) + 1 of each, and meet there."""
     s, d = _side(src, p.field, "s"), _side(dst, p.field, "d")
@@ -173,6 +211,8 @@ def overlap(p: Overlap, src: DataFrame, dst: DataFrame) -> DataFrame:
     sets = [x.select(n, F.array_distinct(F.filter("x", lambda v: v.isNotNull())).alias("x")) for x, n in ((s, "s"), (d, "d"))]
     each = [x.select(F.col(n).alias("k"), F.lit(n).alias("side"), F.explode("x").alias("t")) for x, n in zip(sets, "sd", strict=True)]
     tokens = each[0].unionAll(each[1])
+    if tokens.select("t").distinct().limit(FEW_TOKENS + 1).count() <= FEW_TOKENS:
+        return _overlap_bits(p.min, tokens)
     often = tokens.groupBy("t").agg(F.count("*").alias("n"))
     ordered = tokens.join(often, "t").groupBy("side", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda v: v["t"]).alias("ts"))
     size = F.size("ts")

@@ -193,6 +193,19 @@ def _list_fk(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 rule("rule_list_key_match", rules.KeyMatch("nation_ids"), "select 'region:' || r_regionkey as src, 'nation:' || (r_regionkey + k) as dst, cast(1 as double) as score from region, (values (0), (1)) t(k)", None, _list_fk, "Region", "Nation")
 
+
+
+def _types(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Suppliers with the brands and sizes, together, of all their parts."""
+    g = load(spark, sf_dir, ["Supplier"])
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("what"))
+    b = li.join(part, li["l_partkey"] == part["p_partkey"]).groupBy("l_suppkey").agg(F.collect_set("what").alias("whats"))
+    return g.with_nodes("Supplier", g.nodes["Supplier"].join(b, F.col("s_suppkey") == F.col("l_suppkey"), "left").drop("l_suppkey"))
+
+
+rule("rule_overlap_selective", rules.Overlap("whats", 0.35), "with s as (select l_suppkey, list(distinct p_brand || '/' || p_size) as w from lineitem join part on l_partkey = p_partkey group by 1), p as (select 'supplier:' || a.l_suppkey as src, 'supplier:' || b.l_suppkey as dst, len(list_intersect(a.w, b.w)) as n, len(a.w) as la, len(b.w) as lb from s a, s b where a.l_suppkey <> b.l_suppkey) select src, dst, round(n / (la + lb - n), 6) as score from p where n / (la + lb - n) >= 0.35", None, _types)
+
 _TWO = (rules.RuleDef("b_near", "Supplier", "Supplier", rules.NumericWithin("s_acctbal", 400.0), "LINKED", weight_prop="w"), rules.RuleDef("a_same", "Supplier", "Supplier", rules.FieldEqual("s_nationkey"), "LINKED"))
 
 

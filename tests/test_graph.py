@@ -379,3 +379,21 @@ def test_two_writers_of_one_commit(spark, tmp_path):
     with pytest.raises(history.Conflict):
         log.append(rows, dt.datetime(2024, 1, 2), base=1)
     assert log.head() == 1
+
+
+def test_overlap_as_bits_equals_overlap_as_arrays(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    pool = [f"t{i}" for i in range(150)]
+    rows = [(f"k{i}", r.sample(pool[: r.choice([8, 30, 150])], r.randint(0, 8)) + r.choice([[], [None], ["t1"]])) for i in range(150)] + [("none", None)]
+    g = PropertyGraph(spark).with_nodes("N", spark.createDataFrame(rows, "key string, xs array<string>"))
+    for least in (0.0, 0.3, 0.75, 1.0):
+        runs = []
+        for few in (1024, 0):
+            monkeypatch.setattr(rules, "FEW_TOKENS", few)
+            found = rules.fire(g, rules.RuleDef("o", "N", "N", rules.Overlap("xs", least), "O")).collect()
+            runs.append(sorted((e.src, e.dst, round(e.score, 9)) for e in found))
+        sets = {k: {x for x in xs if x} for k, xs in rows if xs is not None}
+        want = sorted((a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets.items() for b, y in sets.items() if a != b and x & y and len(x & y) / len(x | y) >= least)
+        assert runs[0] == runs[1] == want, least
