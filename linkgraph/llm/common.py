@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +82,9 @@ def maybe_in(mask: np.ndarray, spark: SparkSession):
     """A function from an id column to a boolean one: false only for ids that are not in the bitmap."""
     shared, bits = spark.sparkContext.broadcast(mask), len(mask) * 8  # BITMAP_BITS / 8 bytes at most
 
-    @F.pandas_udf("boolean")
-    def member(slots: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(shared.value, slots.to_numpy()))
+    @F.arrow_udf("boolean")  # pandas would take 24 MB of each worker
+    def member(slots: pa.Array) -> pa.Array:
+        return pa.array(has_bit(shared.value, slots.to_numpy(zero_copy_only=False)))
 
     return lambda column: member(slot_of(column, bits))
 

@@ -80,7 +80,7 @@ class Network:
 
     def label(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
-        for i, j, buf, offs in chunks(column):
+        for i, j, buf, offs in chunks(column, 1 << 20):
             x, row = cut(buf, offs)
             rows = j - i
             total = np.zeros((len(self.langs), rows))

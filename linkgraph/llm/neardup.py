@@ -50,6 +50,8 @@ NEAR = 3
 #: Classes of one posting list of a rare shingle that meet in one block of the closing join, words of 64 bits of parity of a set,
 #: and candidates of a class in a slice that the first closing round tests.
 BLOCK, PARITY, FIRST = 4096, 16, 4
+#: Pairs of a slice of that join, and how many of them are held against the bounds at once.
+SLICE, AT_ONCE = 1 << 20, 1 << 16
 _rng = np.random.default_rng(20240611)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
@@ -236,7 +238,7 @@ def _meet(most: int):
         end = np.searchsorted(token, token, "right")
         out: list = []
 
-        def bound(p: np.ndarray, q: np.ndarray) -> None:
+        def passing(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok = (comp[p] != comp[q]) & first_few[p] & (100 * n[p] >= PERCENT * n[q])
             ok &= 1 + np.minimum(n[p] - place[p], n[q] - place[q]) >= -(-PERCENT * (n[p] + n[q]) // (100 + PERCENT))
             p, q = p[ok], q[ok]
@@ -246,23 +248,28 @@ def _meet(most: int):
                 apart += np.bitwise_count(bits[p, w : w + 4] ^ bits[q, w : w + 4]).sum(1, dtype=np.int64)
                 good = apart <= limit
                 p, q, limit, apart = p[good], q[good], limit[good], apart[good]
+            return p, q, apart
+
+        def bound(p: np.ndarray, q: np.ndarray) -> None:
+            found = [passing(p[c : c + AT_ONCE], q[c : c + AT_ONCE]) for c in range(0, len(p), AT_ONCE)]
+            p, q, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (p, q, p)
             if len(p):
                 keep = closest(p, q, apart)
                 out.append((ids[p[keep]], ids[q[keep]], np.full(int(keep.sum()), not keep.all())))
 
         if i < 0:
-            p, step, held, size = np.arange(len(ids)), 0, [], 0
+            p, step, held, size = np.arange(len(ids), dtype=np.int32), 0, [], 0
             while len(p):
                 step += 1
                 p = p[p + step < end[p]]
                 held.append((p, p + step))
                 size += len(p)
-                if len(p) and size < 1 << 20:
+                if len(p) and size < SLICE:
                     continue
                 bound(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
         else:
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            left, right = (np.flatnonzero(block == x).astype(np.int32) for x in (i, j))
             for c in range(0, len(left), 256):
                 p, q = np.repeat(left[c : c + 256], len(right)), np.tile(right, len(left[c : c + 256]))
                 bound(*((p[p < q], q[p < q]) if i == j else (np.minimum(p, q), np.maximum(p, q))))

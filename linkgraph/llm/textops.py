@@ -11,6 +11,8 @@ U = np.uint64
 _P = U(0x9E3779B97F4A7C15 | 1)
 _PINV = U(pow(int(_P), -1, 1 << 64))
 _Q = U(0xC2B2AE3D27D4EB4F)
+#: Bytes of text that are worked off at once; what is made of them on the way takes up to 50 times as much.
+RUN_BYTES = 1 << 18
 _pow = np.ones(1, U)
 _inv = np.ones(1, U)
 
@@ -18,7 +20,7 @@ _inv = np.ones(1, U)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, (1 << 20) + 2)
+        size = max(n, RUN_BYTES + 2)
         a = np.full(size, _P, U)
         b = np.full(size, _PINV, U)
         a[0] = b[0] = 1
@@ -47,7 +49,7 @@ SPACED[0] = 255
 ALNUM = _lut(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80)
 
 
-def chunks(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of rows in them) of runs of about limit bytes; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
