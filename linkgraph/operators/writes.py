@@ -39,7 +39,9 @@ def execute(g: PropertyGraph, text: str, params: dict | None = None) -> Written:
     if first is None:
         raise S.QueryError("this statement writes nothing")
     w = Writer(g, params or {}, q)
-    df, scope = w.compiler.clauses(part[:first])
+    df, scope = w.compiler.clauses(part[:first], part[first:])
+    if w.compiler.mode == "set":  # equal rows write the same: only what is written from is kept, once
+        df = w.compiler.compact(df, scope, w.compiler.later)
     w.df, w.scope = w.compiler.one(df), scope
     if first:
         w.pin()

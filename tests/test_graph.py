@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkgraph.functions.stem import stem
 from linkgraph.model import PropertyGraph
@@ -38,6 +39,24 @@ def test_relationships_of_a_match_differ(g):
     assert rows(g.query("MATCH (a {id: 'a'})-[:KNOWS]-(b) MATCH (b)-[:KNOWS]-(c {id: 'a'}) RETURN b AS b")) == [("b",), ("c",)]
 
 
+def test_rows_that_nobody_tells_apart_are_counted_not_listed(spark):
+    many = spark.range(2000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("t"), (F.col("id") % 1).cast("string")).alias("dst"))
+    g = PropertyGraph(spark).with_nodes("P", many.select("key")).with_nodes("T", spark.createDataFrame([("t0",)], "key string"))
+    for etype in ("IN", "OF"):
+        g = g.with_edges(etype, many.select(F.col("key").alias("src"), "dst"), "P", "T", closed=True, unique=True)
+    for q in ("MATCH (a:P)-[:IN]->(t:T), (b:P)-[:OF]->(t) RETURN t.key AS t, count(*) AS n, count(b) AS b", "MATCH (a:P)-[:IN]->(t:T)<-[:OF]-(b:P) WITH t, count(*) AS n, count(b) AS b RETURN t.key AS t, n, b"):
+        df = g.query(q)
+        assert rows(df) == [("t0", 4000000, 4000000)]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 2  # the first side is counted before it meets the second
+    written = writes.execute(g, "MATCH (a:P)-[:IN]->(t:T)<-[:OF]-(b:P) MERGE (t)-[:BOTH]->(t)")
+    assert written.counters == {"relationships_created": 1}
+    df = g.query("MATCH (a:P {id: 'p1'})-[:IN]->(t) MATCH (b:P) MATCH (b)-[:OF]->(t) RETURN count(b) AS n")
+    assert rows(df) == [(2000,)]
+    plan = g.query("MATCH (a:P)-[:IN]->(t) MATCH (b:P) MATCH (b)-[:OF]->(t) RETURN a.key AS a, b.key AS b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner\n" not in plan and "Cross" not in plan  # no product of all nodes
+
+
 def test_paths_backward_and_shortest(g):
     p = g.query("MATCH p = (x)<-[:KNOWS*2]-(y {id: 'a'}) RETURN nodes(p) AS n, length(p) AS l").collect()
     assert [(r.n, r.l) for r in p] == [(["c", "b", "a"], 2)]
@@ -167,7 +186,6 @@ def test_all_and_any(things):
 
 
 def test_incremental_equals_scratch(things, spark):
-    from pyspark.sql import functions as F
 
     g, _ = things
     r = rules.RuleDef("r", "X", "X", rules.NumericWithin("n", 2.0), "E", max_edges=2)
