@@ -94,3 +94,16 @@ def test_owners_and_changes_list_no_other_pairs(g, rows):
         other = g.with_nodes("N", g.nodes["N"].withColumn("c", F.when(F.col("key") == "n000", 77).otherwise(F.col("c"))))
         before, after = ({(x.src, x.dst) for x in rules.fire(y, r[0]).collect()} for y in (g, other))
         assert {(x.change, x.src, x.dst) for x in df.collect()} == {("lost", *x) for x in before - after} | {("gained", *x) for x in after - before}
+
+
+def test_nodes_of_one_name_are_not_linked_pair_by_pair(spark, monkeypatch):
+    from linkgraph.operators import components, search
+
+    linked = []
+    whole = components.components
+    monkeypatch.setattr(components, "components", lambda links, scratch: linked.append(links.count()) or whole(links, scratch))
+    names = ["Blue Fox", "fox, blue", "Blue fox inc", None, "--"] * 40 + ["blue fox inc ltd"]
+    g = PropertyGraph(spark).with_nodes("N", spark.createDataFrame([(f"n{i:03}", x) for i, x in enumerate(names)], "key string, name string"))
+    got = {r.key: r.cluster for r in search.identity_clusters(g, "N", "name").collect()}
+    assert linked == [2]  # two names of three: blue fox - blue fox inc - blue fox inc ltd
+    assert got == {f"n{i:03}": ("n000" if i % 5 < 3 and i < 200 else f"n{i:03}") for i in range(201)}
