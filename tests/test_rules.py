@@ -107,3 +107,11 @@ def test_nodes_of_one_name_are_not_linked_pair_by_pair(spark, monkeypatch):
     got = {r.key: r.cluster for r in search.identity_clusters(g, "N", "name").collect()}
     assert linked == [2]  # two names of three: blue fox - blue fox inc - blue fox inc ltd
     assert got == {f"n{i:03}": ("n000" if i % 5 < 3 and i < 200 else f"n{i:03}") for i in range(201)}
+
+
+def test_recall_joins_only_sources_that_differ(spark):
+    from linkgraph.queries import QUERIES
+
+    df = QUERIES["rule_vector_recall"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.collect() == [(True, True)]
