@@ -385,6 +385,32 @@ def test_text_index_equals_search_without_one(spark):
         index.drop()
 
 
+def test_phrase_query_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from linkgraph.queries import ORACLES, QUERIES
+
+    texts = ["thes of license", "the of licensed", "the license of", "thes of token licensing", "thes license", "the ofs licenses"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(ORACLES["fulltext_index_phrase"]).fetchall())
+    assert want == [("doc:0",), ("doc:1",), ("doc:5",)] and rows(QUERIES["fulltext_index_phrase"](spark, str(tmp_path))) == want
+
+
+def test_an_index_makes_postings_where_the_text_is(spark, monkeypatch):
+    from linkgraph.operators import textindex
+
+    written = []
+    whole = textindex.Scratch.__call__
+    monkeypatch.setattr(textindex.Scratch, "__call__", lambda self, df, name, *a: written.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange "))) or whole(self, df, name, *a))
+    g = PropertyGraph(spark).with_nodes("N", spark.createDataFrame([("a", ["x cats x", "dog"]), ("b", ["cat"]), ("c", []), ("d", None), ("e", ["--"])], "key string, t array<string>"))
+    index = textindex.TextIndex(g, "t")
+    assert [n for _, n in written] == [0, 1, 0]  # one shuffle: the sort by term
+    assert sorted(map(tuple, index.postings.collect())) == [("cat", "a", 1, [1]), ("cat", "b", 1, [0]), ("dog", "a", 1, [5]), ("x", "a", 2, [0, 2])]
+    assert sorted(map(tuple, index.lengths.collect())) == [("a", 4), ("b", 1), ("c", 0), ("e", 0)]
+    index.drop()
+
+
 def test_two_writers_of_one_commit(spark, tmp_path):
     import datetime as dt
 
