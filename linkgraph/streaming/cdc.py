@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
 from ..operators.history import SCHEMA, edges_at, nodes_at
-from ..operators.rules import RuleDef, derive
+from ..operators.rules import All, Any, Predicate, RuleDef, derive, leaves, pairs, plain, score_of
+from ..storage import materialize
 
 EVENTS = {"put_node": "NodeInserted", "drop_node": "NodeRemoved", "put_edge": "EdgeInserted", "drop_edge": "EdgeRemoved"}
 
@@ -39,11 +42,11 @@ def snapshot(log: DataFrame, schemas: dict[str, str], spark: SparkSession) -> Pr
     return g
 
 
-def _diffs(spark: SparkSession, log_path: str, out_path: str, checkpoint: str, current: Callable[[DataFrame], DataFrame], names: tuple[str, str]):
+def _diffs(spark: SparkSession, log_path: str, out_path: str, checkpoint: str, current: Callable[[DataFrame], DataFrame], names: tuple[str, str], differ: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None):
     """Starts a stream that, for each batch of commits, appends what came and went in current(log) to out_path, and ends when all is read.
 
     Both states are computed from the log up to the batch's first and last commit, so a batch that is run again writes the same;
-    it is written to a folder of its own by number.
+    it is written to a folder of its own by number. differ: what came and went between two logs, where both results need not be compared.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -51,9 +54,14 @@ def _diffs(spark: SparkSession, log_path: str, out_path: str, checkpoint: str, c
         if low is None:
             return
         log = spark.read.schema(SCHEMA).parquet(log_path)
-        before, after = current(log.where(F.col("commit") < low)), current(log.where(F.col("commit") <= high))
-        came = after.exceptAll(before).select(F.lit(names[0]).alias("event"), F.lit(high).alias("commit"), "*")
-        went = before.exceptAll(after).select(F.lit(names[1]).alias("event"), F.lit(high).alias("commit"), "*")
+        logs = log.where(F.col("commit") < low), log.where(F.col("commit") <= high)
+        if differ is not None:
+            came, went = differ(*logs)
+        else:
+            before, after = map(current, logs)
+            came, went = after.exceptAll(before), before.exceptAll(after)
+        came = came.select(F.lit(names[0]).alias("event"), F.lit(high).alias("commit"), "*")
+        went = went.select(F.lit(names[1]).alias("event"), F.lit(high).alias("commit"), "*")
         came.unionByName(went).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1000).parquet(log_path)
@@ -72,7 +80,56 @@ def rule_events(spark: SparkSession, log_path: str, out_path: str, checkpoint: s
             out = e if out is None else out.unionByName(e)
         return out
 
-    return _diffs(spark, log_path, out_path, checkpoint, current, ("EdgeFired", "EdgeRetracted"))
+    def differ(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sides = [snapshot(log, schemas, spark) for log in (old, new)]
+        if any(r.edge_type in x.edges for x in sides for r in rules):  # edges that were put by hand are no rule's
+            x, y = current(old), current(new)
+            return y.exceptAll(x), x.exceptAll(y)
+        both = [_rule_diff(r, *(x.nodes for x in sides)) for r in rules]
+        return tuple(reduce(DataFrame.unionByName, x) for x in zip(*both, strict=True))
+
+    # pairs of fields alone can be told from the two states of both nodes
+    alone = len({r.edge_type for r in rules}) == len(rules) and all(plain(r.predicate) and r.max_edges is None and not r.via_edge and r.namespace is None and {r.src_label, r.dst_label} <= set(schemas) for r in rules)
+    return _diffs(spark, log_path, out_path, checkpoint, current, ("EdgeFired", "EdgeRetracted"), differ if rules and alone else None)
+
+
+def _renamed(p: Predicate, prefix: str) -> Predicate:
+    return replace(p, parts=tuple(_renamed(x, prefix) for x in p.parts)) if isinstance(p, (All, Any)) else replace(p, field=f"{prefix}{p.field}")
+
+
+def _rule_diff(rule: RuleDef, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The edges of a rule that came and went: pairs with a changed node that hold in one state, and not with the same weight in the other."""
+    rule.validate()
+
+    def states(label: str) -> DataFrame:
+        """key, each field before (o_) and after (n_), and whether any changed."""
+        fields = [f for f in dict.fromkeys(x.field for x in leaves(rule.predicate)) if f in after[label].columns]
+        side = lambda nodes, prefix: nodes[label].select("key", *[F.col(f"`{f}`").alias(f"{prefix}{f}") for f in fields])
+        same = F.lit(True)
+        for f in fields:
+            same = same & F.col(f"`o_{f}`").eqNullSafe(F.col(f"`n_{f}`"))
+        return materialize(side(before, "o_").join(side(after, "n_"), "key", "full_outer").withColumn("_moved", ~same), "rule-states")
+
+    src = states(rule.src_label)
+    dst = src if rule.src_label == rule.dst_label else states(rule.dst_label)
+    out = []
+    for here, there in (("n_", "o_"), ("o_", "n_")):
+        p, q = _renamed(rule.predicate, here), _renamed(rule.predicate, there)
+
+        def keep(s, d, a, b, score, q=q):
+            other = score_of(q, s, d, a, b)
+            return other.isNull() | (other != score)
+
+        found = None
+        for x, y in ((src.where("_moved"), dst), (src.where("not _moved"), dst.where("_moved"))):
+            if x.isEmpty() or y.isEmpty():
+                continue
+            one = pairs(p, x, y, rule.approximate, also=tuple(leaves(q)), keep=keep)
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            found = pairs(p, src.limit(0), dst.limit(0), rule.approximate)
+        out.append(found.where("s != d").select(F.lit(rule.name).alias("rule"), F.lit(rule.edge_type).alias("etype"), F.col("s").alias("src"), F.col("d").alias("dst"), F.col("score").alias("weight")))
+    return tuple(out)
 
 
 def check_query(text: str) -> None:
